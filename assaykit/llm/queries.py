@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import leakage, residue
+from assaykit.llm import leakage, pairs, residue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    qa = pairs.pairs_of(table(spark, d, "qa_dataset"), "qa_dataset", "qa_id", "input", "expected")
+    turns = pairs.pairs_of(table(spark, d, "simple_agent_dataset"), "simple_agent_dataset", "row_id", "agent_task", "agent_response")
+    return pairs.find_defects(qa.unionByName(turns))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -23,5 +29,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p6_found, p8_found)}
 SQL: dict[str, str] = {}
