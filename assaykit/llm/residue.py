@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.session import cut
+from assaykit.session import cut, small_side
 
 SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
 #: A passage counts as filler from so many words on, if this share of them is filler.
@@ -126,26 +126,31 @@ _SOUND = re.compile(r"\b(?:designers? of|style guide|the template (?:fills|uses|
 
 
 def trusted(passage: str) -> int:
-    """1: residue, -1: sound writing about such things, 0: neither is sure. The passage is as passages() gives it."""
+    """1: residue as a whole, 2: holds residue beside other words, -1: sound writing about such things, 0: neither is sure.
+
+    The passage is as passages() gives it.
+    """
     text = passage
     if "&" in text:
         text = html.unescape(text)
     if "`" in text or _SOUND.search(text):
         plain = _CODE.sub(" ", text)
-        return 1 if "`" in text and not _SOUND.search(text) and _SLOTS.search(plain) else -1
+        return 2 if "`" in text and not _SOUND.search(text) and _SLOTS.search(plain) else -1
     plain = _CODE.sub(" ", text)
     if _DOLLARS.search(text):
-        return 1
+        return 2
     if _SLOTS.search(plain) or _BRACKET.search(plain) or any(m not in TAGS and f"</{m}>" not in plain for m in _ANGLE.findall(plain)):
-        return 1
+        return 2
     words = re.findall(r"[^\W\d_]+", text)
     if len(words) >= FILLER_WORDS:
         if sum(w in LATIN for w in words) >= FILLER_SHARE * len(words) or sum(w in KEYS for w in words) >= FILLER_SHARE * len(words):
             return 1
         if len(words) > 5 and len(set(words)) == 1:
             return 1
-    if _FILLER.match(text) or _GOES_HERE.search(text) or _NONE.match(text):
+    if _FILLER.match(text) or _NONE.match(text):
         return 1
+    if _GOES_HERE.search(text):
+        return 2
     bare = re.sub(r"<[^<>]*>", " ", text).strip() or text
     bare = _HEAD.sub("", bare) or bare
     if _STATUS.search(text) or _STATUS.match(bare) or _JSON_ERROR.match(text) or _ERROR.match(bare) or _ERROR_ABROAD.match(bare):
@@ -220,40 +225,43 @@ def _prefix(shingles_: Column) -> Column:
 def spread(labelled: DataFrame) -> DataFrame:
     """Spread label 1 along verified near-duplicate links. labelled: (passage, label); returns the residue passages.
 
+    Passages that only hold residue (label 2) are residue but do not pass the label on: what is like the rest
+    of them is sound.
+
     Links are between passages whose SimHashes differ in at most HAMMING bits or, which the tables can miss,
     whose shingle prefixes meet; both are verified by the similarity of the shingles. Trusted sound
     passages neither receive nor pass on the label. Only passages next to a residue passage are compared,
     hop by hop, so the pairs among sound passages are never formed.
     """
-    prints = cut(
-        labelled.where("label >= 0").withColumn("p", _print("passage")).select("passage", "label", F.xxhash64("passage").alias("id"), "p.sim", "p.shingles")
-    )
-    residue = prints.where("label = 1").select("passage")
+    prints = cut(labelled.where("label >= 0").withColumn("p", _print("passage")).select("passage", "label", F.xxhash64("passage").alias("id"), "p.sim", "p.shingles"))
     m = blocks_for(prints.count())
-    keyed = prints.select("*", F.concat(
+    long_enough = prints.where("size(shingles) > 1")
+    keys = F.concat(
         F.transform(table_keys(F.col("sim"), m), lambda k: F.xxhash64(k["table"], k["bits"])),
         F.transform(_prefix(F.col("shingles")), lambda s: F.xxhash64(F.lit(-1), s)),
-    ).alias("keys"))
-    rest = keyed.where("label = 0 and size(shingles) > 1").select("passage", "sim", "shingles", F.explode("keys").alias("key"))
-    frontier = keyed.where("label = 1 and size(shingles) > 1").select("sim", "shingles", F.explode("keys").alias("key"))
-    reached = None
+    )
+    residue = prints.where("label > 0").select("passage")
+    frontier, reached = cut(long_enough.where("label = 1").select("id", "sim", "shingles", keys.alias("keys"))), None
     for _ in range(MAX_HOPS):
-        f, r = frontier.alias("f"), rest.alias("r")
-        both = F.size(F.array_intersect("f.shingles", "r.shingles"))
-        union = F.size("f.shingles") + F.size("r.shingles") - both
-        size_ok = (F.least(F.size("f.shingles"), F.size("r.shingles")) >= SIMILARITY * F.greatest(F.size("f.shingles"), F.size("r.shingles"))) | (
-            F.bit_count(F.col("f.sim").bitwiseXOR(F.col("r.sim"))) <= HAMMING
-        )
-        new = r.join(f, F.col("f.key") == F.col("r.key")).where(size_ok).where(both >= SIMILARITY * union).select("r.passage").distinct()
-        new = cut(new)
-        if new.isEmpty():
+        f = frontier.select(F.col("id").alias("fid"), F.explode("keys").alias("key"))
+        r = long_enough.where("label = 0").select("id", F.explode(keys).alias("key"))
+        candidates = cut(r.join(small_side(f), "key").select("id", "fid").distinct())
+        left = long_enough.select("id", "passage", "sim", "shingles")
+        right = frontier.select(F.col("id").alias("fid"), F.col("sim").alias("fsim"), F.col("shingles").alias("fshingles"))
+        both = F.size(F.array_intersect("shingles", "fshingles"))
+        union = F.size("shingles") + F.size("fshingles") - both
+        near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("fsim"))) <= HAMMING) | (both >= SIMILARITY * union)
+        met = left.join(small_side(candidates), "id").join(small_side(right), "fid").where(near & (both >= SIMILARITY * union))
+        met = met.select("id", "passage", "sim", "shingles").dropDuplicates(["id"])
+        if reached is not None:
+            met = met.join(reached.select("id"), "id", "left_anti")
+        frontier = cut(met.select("id", "passage", "sim", "shingles", keys.alias("keys")))
+        if frontier.isEmpty():
             break
-        reached = new if reached is None else reached.unionByName(new)
-        frontier = keyed.join(new, "passage", "left_semi").select("sim", "shingles", F.explode("keys").alias("key"))
-        rest = rest.join(new, "passage", "left_anti")
+        reached = frontier if reached is None else reached.unionByName(frontier)
     else:
         raise RuntimeError(f"labels still spread after {MAX_HOPS} hops")
-    return residue if reached is None else residue.unionByName(reached)
+    return residue if reached is None else residue.unionByName(reached.select("passage"))
 
 
 def find_residue(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,4 +271,4 @@ def find_residue(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
     labelled = cut(long.select("passage").distinct().withColumn("label", _trusted("passage")))
     residue = spread(labelled)
     # A passage may be in any number of documents: the list of residue passages is distinct, the documents are not gathered by it.
-    return long.join(residue, "passage", "left_semi").select(F.col("doc").alias(doc_col)).distinct()
+    return long.join(small_side(residue), "passage", "left_semi").select(F.col("doc").alias(doc_col)).distinct()
