@@ -13,6 +13,10 @@ def indices(names: list[str]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x) & ((1 << BITS) - 1) for x in names], dtype=np.int64))
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class LinearModel:
     """One logistic regression per label over the same binary features. A row of features must not be empty."""
 
@@ -30,7 +34,7 @@ class LinearModel:
                 at = np.concatenate([rows[i] for i in batch])
                 sizes = [len(rows[i]) for i in batch]
                 starts = np.cumsum([0] + sizes[:-1])
-                p = 1 / (1 + np.exp(-np.add.reduceat(self.w[at], starts, axis=0)))
+                p = _logistic(np.add.reduceat(self.w[at], starts, axis=0))
                 error = ((p - y[batch]) * use[batch]).astype(np.float32)
                 ids, inverse = np.unique(at, return_inverse=True)
                 g = np.zeros((len(ids), self.w.shape[1]), dtype=np.float32)
@@ -43,4 +47,4 @@ class LinearModel:
         if not rows:
             return np.zeros((0, self.w.shape[1]))
         starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        return 1 / (1 + np.exp(-np.add.reduceat(self.w[np.concatenate(rows)], starts, axis=0)))
+        return _logistic(np.add.reduceat(self.w[np.concatenate(rows)], starts, axis=0))

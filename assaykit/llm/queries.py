@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import leakage, pairs, residue
+from assaykit.llm import leakage, mixing, pairs, percentiles, residue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +21,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.find_defects(qa.unionByName(turns))
 
 
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.duration_percentiles(table(spark, d, "sample_traces"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_mix_documents(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_mix_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p6_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_percentiles, p6_found, p7_mix_documents, p7_mix_shares, p8_found)}
 SQL: dict[str, str] = {}
