@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from assaykit.plans import preparation
+from assaykit.plans import preparation, texts
 
-QUERIES = {**preparation.QUERIES}
-SQL = {**preparation.SQL}
+_PARTS = (texts.REGISTRY,)
+QUERIES = dict(preparation.QUERIES)
+SQL = dict(preparation.SQL)
+for _part in _PARTS:
+    QUERIES |= _part.queries
+    SQL |= _part.sql
