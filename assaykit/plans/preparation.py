@@ -40,4 +40,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_attributes, p4_traces, p5_found)}
-SQL: dict[str, str] = {}
+
+# The record's fields after a leading comma each; a quoted field holds doubled quotes, a bare one starts with none.
+_FIELDS = """f as (select line_id, ',' || regexp_replace(coalesce(raw_line, ''), '\\r$', '') as s, raw_line is null as missing from agent_csv_lines),
+  c as (select *, regexp_full_match(s, '(?s)(,("[^"]*(""[^"]*)*"|[^",][^,]*)?)*') as quoted,
+    list_transform(regexp_extract_all(s, '(?s),("[^"]*(?:""[^"]*)*"|[^,]*)', 1), lambda x: case when starts_with(x, '"') then replace(x[2:-2], '""', '"') else x end) as cells from f)"""
+_CELL = "regexp_replace(cells[{0}], '^\\s+|\\s+$', '', 'g')"
+_OBJECTS = "(json_valid({0}) and json_type({0}) = 'ARRAY' and len(list_filter(json_extract({0}, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0)"
+
+
+def _bad(place: int, rule: str) -> str:
+    x = _CELL.format(place)
+    ok = {
+        "object": f"(json_valid({x}) and json_type({x}) = 'OBJECT')",
+        "objects": _OBJECTS.format(x),
+        "calls": f"""({_OBJECTS.format(x)} and len(list_filter(json_extract({x}, '$[*]'), lambda c: not (coalesce(json_type(json_extract(c, '$.tool_name')), '') = 'VARCHAR'
+          and coalesce(json_type(json_extract(c, '$.call_id')), '') = 'VARCHAR' and coalesce(json_type(json_extract(c, '$.parameters')), '') = 'OBJECT'))) = 0)""",
+    }[rule]
+    # DuckDB also reads NaN, Infinity and commas before a closing bracket; strings aside, they must not occur.
+    bare = rf"""regexp_replace({x}, '"(\\.|[^"\\])*"', '0', 'g')"""
+    strict = f"not regexp_matches({bare}, ',\\s*[\\]}}]|NaN|nan|Inf|inf')"
+    return f"(contains(cells[{place}], chr(65533)) or (regexp_matches({x}, '^[\\[{{]') and not case when json_valid({x}) then {ok} and {strict} else false end))"
+
+
+SQL: dict[str, str] = {
+    "p2_found": f"""with {_FIELDS}, r as (select line_id, case when not quoted then 'quoting' when len(cells) <> 20 or missing then 'column_count'
+      when {_bad(9, 'objects')} or {_bad(11, 'calls')} or {_bad(20, 'object')} then 'invalid_value' end as reason from c) select line_id, reason from r where reason is not null""",
+}
