@@ -66,4 +66,16 @@ def _bad(place: int, rule: str) -> str:
 SQL: dict[str, str] = {
     "p2_found": f"""with {_FIELDS}, r as (select line_id, case when not quoted then 'quoting' when len(cells) <> 20 or missing then 'column_count'
       when {_bad(9, 'objects')} or {_bad(11, 'calls')} or {_bad(20, 'object')} then 'invalid_value' end as reason from c) select line_id, reason from r where reason is not null""",
+    "p4_found": """with t as (select payload_id, j.fullkey, j.value from trace_payloads, json_tree(body) j where json_valid(body) and j.type = 'OBJECT'),
+      o as (select payload_id, fullkey, value, json_extract_string(value, '$.span_id') as sid, json_extract_string(value, '$.trace_id') as tid from t),
+      s as (select *, json_extract(value, '$.attributes') as a, json_extract_string(value, '$.parent_span_id') as p from o where sid is not null),
+      r as (select s.payload_id, s.fullkey, arg_max(x.tid, length(x.fullkey)) as tid from s join o x on x.payload_id = s.payload_id and x.sid is null and x.tid is not null
+        and (starts_with(s.fullkey, x.fullkey || '.') or starts_with(s.fullkey, x.fullkey || '[')) group by 1, 2),
+      e as (select s.payload_id, s.fullkey, arg_max(x.sid, length(x.fullkey)) as inside from s join s x on x.payload_id = s.payload_id
+        and (starts_with(s.fullkey, x.fullkey || '.') or starts_with(s.fullkey, x.fullkey || '[')) group by 1, 2),
+      f as (select r.tid, s.sid, s.p, e.inside, coalesce(json_extract_string(a, '$."operation.type"'), json_extract_string(a, '$.operation.type'),
+          json_extract_string(list_filter(json_extract(a, '$[*]'), lambda x: json_extract_string(x, '$.key') = 'operation.type')[1], '$.value.stringValue')) as op
+        from s left join r using (payload_id, fullkey) left join e using (payload_id, fullkey)),
+      b as (select trace_id as tid, unnest(spans) as s from sample_traces), u as (select tid, s.span_id as sid, s.parent_span_id as p, null as inside, s.attributes['operation.type'] as op from b where s.span_id is not null union all select * from f)
+      select coalesce(tid, '') as trace_id, sid as span_id, max(case when regexp_full_match(trim(coalesce(p, '')), '[0-]*') then coalesce(inside, '') else p end) as parent_span_id, max(coalesce(op, '')) as operation_type from u group by 1, 2""",
 }
