@@ -18,6 +18,12 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
+def parsed(c: Column) -> Column:
+    """VARIANT of JSON text, null if it is none. Unlike try_parse_json, text after the value is not ignored."""
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, 0))
+
+
 def rating_or_last(response: Column, default: float = 3.0) -> Column:
     """`Rating: n`, else the last whole number, else the default. Not clamped."""
     return F.coalesce(_double(first_match(response, r"Rating:\s*(\d+)")), _double(F.try_element_at(_all(response, _NUMBER), F.lit(-1))), F.lit(default))
@@ -31,7 +37,7 @@ def rating_or_first(response: Column, default: float = 3.0, named: bool = True)
 
 def rating_of_ten(response: Column) -> Column:
     """`Rating: n`, else the first whole number, else the rating or score of a JSON object, else 5; from 0 to 10."""
-    v = F.try_parse_json(response)
+    v = parsed(response)
     got = F.coalesce(
         _double(first_match(response, r"(?i)Rating:\s*(\d+)")),
         _double(F.try_element_at(_all(response, _NUMBER), F.lit(1))),
@@ -42,7 +48,7 @@ def rating_of_ten(response: Column) -> Column:
 
 def embedded_json(response: Column) -> Column:
     """VARIANT of what stands from the first brace to the last, else of the whole text; null if neither is JSON."""
-    return F.coalesce(F.try_parse_json(F.regexp_extract(response, r"(?s)\{.*\}", 0)), F.try_parse_json(strip(response)))
+    return F.coalesce(parsed(F.regexp_extract(response, r"(?s)\{.*\}", 0)), parsed(strip(response)))
 
 
 def json_number(response: Column, field: str, default: float = 3.0) -> Column:
@@ -61,7 +67,7 @@ def relevance_flag(response: Column) -> Column:
 def agent_score(response: Column) -> Column:
     """STRUCT<score, reasoning> of an agent judge: JSON between the outer braces, else named fields, else any number, else 1."""
     s = strip(response)
-    v = F.try_parse_json(F.when(s.contains("{") & s.contains("}"), F.regexp_extract(s, r"(?s)\{.*\}", 0)).otherwise(s))
+    v = parsed(F.when(s.contains("{") & s.contains("}"), F.regexp_extract(s, r"(?s)\{.*\}", 0)).otherwise(s))
     field = _double(first_match(s, r"[\"']?score[\"']?\s*:\s*([0-9.]+)"))
     number = _double(first_match(s, r"\b([0-9.]+)\b"))
     score = F.when(v.isNotNull(), F.coalesce(F.try_variant_get(v, "$.score", "double"), F.try_variant_get(v, "$", "double"), F.lit(1.0))).otherwise(F.coalesce(field, number, F.lit(1.0)))
@@ -73,7 +79,7 @@ def panel_score(response: Column) -> Column:
     """Score of a panel judge from 0 to 1: JSON (whole, fenced, or the first object) with score from 1 to 5 and reasoning, else 0."""
     s = strip(response)
     fenced = F.regexp_extract(s, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    v = F.coalesce(F.try_parse_json(s), F.try_parse_json(F.when(fenced != "", fenced).otherwise(F.regexp_extract(s, r"(?s)\{.*?\}", 0))))
+    v = F.coalesce(parsed(s), parsed(F.when(fenced != "", fenced).otherwise(F.regexp_extract(s, r"(?s)\{.*?\}", 0))))
     score = F.try_variant_get(v, "$.score", "double")
     ok = score.between(1, 5) & F.try_variant_get(v, "$.reasoning", "string").isNotNull()
     return F.when(ok, (score - 1) / 4).otherwise(0.0)
@@ -85,7 +91,7 @@ def criteria_score(response: Column, low: float = 1.0, high: float = 5.0) -> Col
     named = _double(first_match(F.element_at(F.split(line, ":"), -1), r"(\d+\.?\d*)"))
     last = _double(F.try_element_at(_all(response, r"\b(\d+\.?\d*)\b"), F.lit(-1)))
     scaled = (F.coalesce(named, last) - low) / (high - low)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(0.0))
+    return F.when(scaled.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
 
 
 def verdict_weight(response: Column, full: str, partial: str, negative: str, reference_compat: bool = False) -> Column:

@@ -23,7 +23,7 @@ def typed(c: Column, ddl: str) -> tuple[Column, Column]:
     """(value, raw): the JSON value where the trimmed text has the type's brackets and parses, else the text as it is; null gives neither."""
     s = strip(c)
     shape = r"(?s)^\[.*\]$" if ddl.startswith("array") else r"(?s)^\{.*\}$"
-    value = F.when(s.rlike(shape) & F.try_parse_json(s).isNotNull(), F.from_json(s, ddl))
+    value = F.when(s.rlike(shape) & responses.parsed(s).isNotNull(), F.from_json(s, ddl))
     return value, F.when(value.isNull(), c)
 
 

@@ -111,7 +111,7 @@ def panel(votes: DataFrame, key: str = "sample_id", threshold: float = 0.5) -> D
         F.coalesce(F.when(F.min(s) >= threshold, F.min(s)).otherwise(0.0), F.lit(0.0)).alias("consensus"),
         F.coalesce(F.min(s), F.lit(0.0)).alias("min"),
         F.coalesce(F.max(s), F.lit(0.0)).alias("max"),
-        F.coalesce(F.greatest(F.lit(0.0), 1 - F.stddev_samp(s) / 0.5), F.lit(1.0)).alias("consensus_level"),
+        F.when(F.count(s) > 1, F.greatest(F.lit(0.0), 1 - F.stddev_samp(s) / 0.5)).otherwise(1.0).alias("consensus_level"),
     )
 
 
@@ -224,7 +224,9 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.select(known(F.col(x)).alias("x"), known(F.col(y)).alias("y")).where("x is not null and y is not null")
     both = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
     varies = (F.count(F.lit(1)) > 1) & (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-    return both.agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("x", "y")).alias("pearson"), F.when(varies, F.corr("rx", "ry")).alias("spearman"))
+    # corr itself divides by zero where a column does not vary.
+    r = lambda a, b: F.when(varies, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
+    return both.agg(F.count(F.lit(1)).alias("n"), r("x", "y").alias("pearson"), r("rx", "ry").alias("spearman"))
 
 
 def equal_width_bins(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:

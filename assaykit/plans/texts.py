@@ -268,7 +268,7 @@ def _talk(spark: SparkSession, d: str) -> DataFrame:
   select qa_id, round(case when v is not null then coalesce(try_cast(json_extract_string(v, '$.score') as double), try_cast(v as double), 1.0) else coalesce(try_cast(nullif(regexp_extract(response, '["'']?score["'']?\\s*:\\s*([0-9.]+)', 1), '') as double),
     try_cast(nullif(regexp_extract(response, '\\b([0-9.]+)\\b', 1), '') as double), 1.0) end, 6) as agent,
   round(case when v is not null and json_extract_string(v, '$.reasoning') is not null and try_cast(json_extract_string(v, '$.score') as double) between 1 and 5 then (try_cast(json_extract_string(v, '$.score') as double) - 1) / 4 else 0.0 end, 6) as panel,
-  round(coalesce(greatest(0.0, least(1.0, (coalesce(case when contains(response, 'Final Score:**') then 4.0 end, try_cast(regexp_extract_all(response, '\\b(\\d+\\.?\\d*)\\b', 1)[-1] as double)) - 1) / 4)), 0.0), 6)::double as criteria from v""")
+  round(case when contains(response, 'Final Score:**') then 0.75 when len(regexp_extract_all(response, '\\b(\\d+\\.?\\d*)\\b', 1)) = 0 then 0.0 else greatest(0.0, least(1.0, (try_cast(regexp_extract_all(response, '\\b(\\d+\\.?\\d*)\\b', 1)[-1] as double) - 1) / 4)) end, 6)::double as criteria from v""")
 def pa_pp_pg_response_parsers(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("response")
     return _talk(spark, d).select("qa_id", r6(responses.agent_score(r)["score"]).alias("agent"), r6(responses.panel_score(r)).alias("panel"), r6(responses.criteria_score(r)).alias("criteria"))
