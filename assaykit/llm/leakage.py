@@ -11,7 +11,7 @@ is held against where it was read. Nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from assaykit.llm.textnorm import squeezed
 Q = 12
 #: Diagonals that one band spans; a differing word shifts the diagonal by less than half of it.
 BAND = 48
+#: Diagonals beyond those that share q-grams on which the alignment may run.
+SHIFT = 12
 MIN_WORDS = 15
 #: One word in so many may differ.
 WORDS_PER_EDIT = 10
@@ -112,7 +114,7 @@ class Questions:
         return np.repeat(at, n), self.body[rows], self.place[rows]
 
 
-def aligned(words: list[tuple[int, str]], text: str, starts: set[int], diagonals: list[int]) -> bool:
+def aligned(words: list[tuple[int, str]], text: str, starts: set[int], diagonals: Sequence[int]) -> bool:
     """Is there a stretch of at least MIN_WORDS question words in `text`, at most one in WORDS_PER_EDIT differing?
 
     Word-wise alignment along the band's diagonals: a word matches where its characters stand on the
@@ -190,9 +192,14 @@ def _leaks(chunk: list[tuple[int, str, list[int]]], questions: Questions) -> lis
         for j in np.flatnonzero(enough):
             bands.setdefault((int(doc[j]), int(body[j]), shift, int(inverse[j])), set()).add(int(diagonal[j]))
     found: set[tuple[int, int]] = set()
+    begins = {chunk[d][0]: set(chunk[d][2]) for d in {key[0] for key in bands}}
     for (d, b, _, _), diagonals in bands.items():
-        i, s, starts = chunk[d]
-        if (i, b) not in found and aligned(questions.words[b], s, set(starts), sorted(diagonals)):
+        i, s, _ = chunk[d]
+        if (i, b) in found:
+            continue
+        # Most regions show on the diagonals that share q-grams; runs of words too short for one stand on others of the band.
+        whole = range(min(diagonals) - SHIFT, max(diagonals) + SHIFT + 1)
+        if aligned(questions.words[b], s, begins[i], sorted(diagonals)) or aligned(questions.words[b], s, begins[i], whole):
             found.add((i, b))
     return sorted(found)
 

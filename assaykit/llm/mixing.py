@@ -173,9 +173,15 @@ def mix(
     sources = sorted(r["source"] for r in names)
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     mixes, target, limits = _targets(want, int(total), sources)
-    one_hot = F.transform(F.array(*[F.lit(s) for s in sources]) if sources else F.array().cast("array<string>"), lambda s: (s == F.col("source")).cast("double"))
+    if not mixes:
+        spark = docs.sparkSession
+        return (
+            spark.createDataFrame([], f"mix_name string, {doc_col} bigint, source string, tokens bigint, repeats bigint"),
+            spark.createDataFrame([], "mix_name string, source string, target_tokens double, target_share double, actual_tokens bigint, actual_share double, available_tokens bigint, max_repeats int"),
+        )
+    one_hot = F.transform(F.array(*[F.lit(s) for s in sources]), lambda s: (s == F.col("source")).cast("double"))
     posterior = classify(base, sources)
-    limit_of = lambda place: F.array(*[F.element_at(F.array(*[F.lit(float(x)) for x in limits[i]]), place + 1) for i in range(len(mixes))]) if mixes else F.array().cast("array<double>")
+    limit_of = lambda place: F.array(*[F.element_at(F.array(*[F.lit(float(x)) for x in limits[i]]), place + 1) for i in range(len(mixes))])
     best = lambda p: F.array_position(p, F.array_max(p)).cast("int") - 1
     soft = cut(
         sized.where("source is null and tokens > 0").join(posterior, "doc").dropDuplicates(["doc"]).withColumn("best", best(F.col("posterior")))
@@ -188,9 +194,9 @@ def mix(
     )
     units = cut(hard.unionByName(soft).withColumn("limits", limit_of(F.col("best"))))
     rated = cut(fit_rates(units, mixes, target, sources))
-    name_of = F.element_at(F.array(*[F.lit(s) for s in sources]), F.col("best") + 1) if sources else F.lit(None).cast("string")
+    name_of = F.element_at(F.array(*[F.lit(s) for s in sources]), F.col("best") + 1)
     long = rated.select("doc", "best", name_of.alias("source"), F.posexplode("rates").alias("m", "rate"))
-    mix_name = F.element_at(F.array(*[F.lit(x) for x in mixes]), F.col("m") + 1) if mixes else F.lit(None).cast("string")
+    mix_name = F.element_at(F.array(*[F.lit(x) for x in mixes]), F.col("m") + 1)
     by_source = long.where("doc is null").select("m", "source", "rate")
     by_doc = long.where("doc is not null").select("m", "doc", "source", "rate")
     # Rates by source: one row per mix and source, at most MAX_SOURCES times the mixes.
