@@ -137,3 +137,17 @@ def rag_samples(df: DataFrame, query: str, answer: str, truth: str, context: str
     """(query, ground_truth, generated_answer, retrieved_contexts): contexts are the paragraphs of a text, ranked by place."""
     items = F.transform(paragraphs(F.col(context)), lambda c, i: F.struct(c.alias("content"), F.lit(0.8).alias("relevance_score"), i.alias("rank")))
     return df.select(F.col(query).alias("query"), F.col(truth).alias("ground_truth"), F.col(answer).alias("generated_answer"), F.coalesce(items, F.array()).alias("retrieved_contexts"))
+
+
+def serialized(typed_value: Column, raw: Column) -> Column:
+    """A union field as text: as it came, else the JSON of its value, else ''."""
+    return F.coalesce(raw, F.to_json(typed_value), F.lit(""))
+
+
+def evaluate_turns(df: DataFrame, responses_: dict[str, str]) -> DataFrame:
+    """(user_id, task_id, turn_id, agent_name, <scorer>, <scorer>_valid): every scorer -> response column of typed turns, in one projection."""
+    fields = {f for name in responses_ for f in SCORERS[name][1]}
+    present = {f: F.coalesce(F.col(f).cast("string"), F.col(f"{f}_raw")) if f"{f}_raw" in df.columns else F.col(f) for f in fields}
+    scored = [agent_score(name, F.col(column), present, F.col("agent_exit")).alias(f"_{name}") for name, column in responses_.items()]
+    rows = df.select("user_id", "task_id", "turn_id", "agent_name", *scored)
+    return rows.select("user_id", "task_id", "turn_id", "agent_name", *[x for name in responses_ for x in (F.col(f"_{name}.score").alias(name), F.col(f"_{name}.valid").alias(f"{name}_valid"))])

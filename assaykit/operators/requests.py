@@ -7,8 +7,11 @@ with grouping sets gives all levels.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaykit.session import cut, small_side
+
 #: Width and number of latency buckets; the last bucket is open.
 BUCKET_MS, BUCKETS = 100, 9
 
@@ -86,3 +89,56 @@ def priced(requests: DataFrame, prices: DataFrame) -> DataFrame:
     tier = F.try_element_at(F.filter("_tiers", lambda t: t["from_tokens"] <= F.coalesce("tokens_input", F.lit(0))), F.lit(-1))
     cost = (F.coalesce("tokens_input", F.lit(0)) * tier["per_million_input"] + F.coalesce("tokens_output", F.lit(0)) * tier["per_million_output"]) / 1e6
     return requests.drop("cost").join(tiers, "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("_tiers")
+
+
+def export_summary(requests: DataFrame) -> DataFrame:
+    """One row: requests and how many providers and models they name; null and empty names are none."""
+    name = lambda c: F.nullif(c, F.lit(""))
+    return requests.agg(
+        F.count(F.lit(1)).alias("total_requests"), F.count_distinct(name("provider")).alias("unique_providers"), F.count_distinct(name("model")).alias("unique_models")
+    )
+
+
+def running_totals(requests: DataFrame, by: str = "model") -> DataFrame:
+    """(by, requests, tokens, cost, errors): what a model has used so far, from its log."""
+    tokens = F.coalesce("tokens_input", F.lit(0)) + F.coalesce("tokens_output", F.lit(0))
+    return requests.groupBy(by).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("tokens"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.count_if(~F.col("success")).alias("errors")
+    )
+
+
+def plain_model_name(model: Column) -> Column:
+    """A model's name without the size of its context."""
+    return F.regexp_replace(model, r"-(?:4|8|16|32)k$", "")
+
+
+def exact_percentiles(df: DataFrame, by: str, value: str, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """(by, q, value): interpolated percentiles of columns with any number of distinct values, in two passes.
+
+    F.percentile keeps every distinct value of a group in memory. Here the first pass brackets each
+    percentile by approximate ones, and the second counts what is below the bracket and the distinct values
+    inside it, which are about 4 / accuracy of the rows. Null values and keys are left out.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    margin = 2.0 / accuracy
+    edges = [e for q in quantiles for e in (max(0.0, q - margin), min(1.0, q + margin))]
+    found = rows.groupBy(by).agg(F.percentile_approx("v", edges, accuracy).alias("e"), F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Interpolation may need the value after the bracket, so edges at the ends are the extremes themselves.
+    each = F.array(*[
+        F.struct(F.lit(q).alias("q"), F.when(F.lit(edges[2 * i]) <= 0, F.col("lo")).otherwise(F.col("e")[2 * i]).alias("low"), F.when(F.lit(edges[2 * i + 1]) >= 1, F.col("hi")).otherwise(F.col("e")[2 * i + 1]).alias("high"))
+        for i, q in enumerate(quantiles)
+    ])
+    brackets = cut(found.select(F.col(by).alias("_k"), "n", F.inline(each)))
+    joined = rows.join(small_side(brackets), F.col(by) == F.col("_k"))
+    inside = F.col("v").between(F.col("low"), F.col("high"))
+    counts = (
+        joined.where(F.col("v") <= F.col("high"))
+        .groupBy(by, "q", "n", F.when(inside, F.col("v")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    upto = F.sum("c").over(W.partitionBy(by, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    place = F.col("q") * (F.col("n") - 1)
+    ranked = counts.withColumn("last", upto).withColumn("first", F.col("last") - F.col("c") + 1).where("v is not null")
+    at = lambda r: F.min(F.when((F.col("first") <= r + 1) & (F.col("last") >= r + 1), F.col("v")))
+    out = ranked.groupBy(by, "q", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
+    return out.select(by, "q", (F.col("a") + (place - F.floor(place)) * (F.col("b") - F.col("a"))).alias("value"))

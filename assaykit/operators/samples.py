@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -135,3 +136,35 @@ def without_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
         return c
 
     return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name not in names])
+
+
+def search_items(items: DataFrame, version: str | None = None, item_type: str | None = None, term: str | None = None) -> DataFrame:
+    """Items of a version (a.b.c, else ValueError), of a type, and with a term in their content, by any case."""
+    if version is not None:
+        if not re.fullmatch(r"\s*\d+\.\d+\.\d+\s*", version):
+            raise ValueError(f"no version: {version!r}")
+        items = items.where(F.col("version") == version.strip())
+    if item_type:
+        items = items.where(F.col("item_type") == item_type)
+    return items.where(F.lower("content").contains(term.lower())) if term else items
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """current with the rows of changes put in by key; a null in `_deleted` or false keeps, true removes. Of changes to one key the greatest counts."""
+    flagged = changes if "_deleted" in changes.columns else changes.withColumn("_deleted", F.lit(False))
+    rest = [c for c in current.columns if c not in keys]
+    last = flagged.groupBy(*keys).agg(F.max(F.struct(*rest, F.coalesce("_deleted", F.lit(False)).alias("_deleted"))).alias("_v"))
+    kept = current.join(last, list(keys), "left_anti").select(current.columns)
+    return kept.unionByName(last.where("not _v._deleted").select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest]))
+
+
+def with_scores(samples: DataFrame, scores: DataFrame, key: str = "sample_id", default: float = 0.0) -> DataFrame:
+    """samples with the score of each, or the default; of several scores the greatest."""
+    best = scores.groupBy(key).agg(F.max("score").alias("score"))
+    return samples.join(best, key, "left").withColumn("score", F.coalesce("score", F.lit(default)))
+
+
+def refreshed_means(summary: DataFrame, detail: DataFrame, by: str = "subset") -> DataFrame:
+    """summary (by, mean) with means recomputed from detail (by, score); groups without detail keep theirs."""
+    new = detail.groupBy(by).agg(F.avg("score").alias("_new"))
+    return summary.join(new, by, "left").withColumn("mean", F.coalesce("_new", "mean")).drop("_new")

@@ -127,6 +127,22 @@ def j9_j10_priced(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("model").agg(F.round(F.sum("cost"), 9).alias("cost"))
 
 
+@REGISTRY.add(f"{_REQUESTS} select count(*) as total_requests, count(distinct nullif(provider, '')) as unique_providers, count(distinct nullif(model, '')) as unique_models from e")
+def a16_export_summary(spark: SparkSession, d: str) -> DataFrame:
+    return requests.export_summary(_requests(spark, d))
+
+
+@REGISTRY.add(f"{_REQUESTS} select provider, count(*) as requests, sum(coalesce(tokens_input, 0) + coalesce(tokens_output, 0))::bigint as tokens, round(coalesce(sum(cost), 0), 6) as cost, count(*) filter (not success) as errors from e group by provider")
+def a25_running_totals(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(requests.running_totals(_requests(spark, d), "provider"))
+
+
+@REGISTRY.add("select l_returnflag, q::double as q, round(quantile_cont(l_extendedprice, q), 4) as value from lineitem, (select unnest([0.5, 0.95, 0.99]) as q) group by l_returnflag, q".replace("quantile_cont(l_extendedprice, q)", "case q when 0.5 then quantile_cont(l_extendedprice, 0.5) when 0.95 then quantile_cont(l_extendedprice, 0.95) else quantile_cont(l_extendedprice, 0.99) end"))
+def a10_percentiles_of_any_size(spark: SparkSession, d: str) -> DataFrame:
+    out = requests.exact_percentiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
+    return out.withColumn("value", F.round("value", 4))
+
+
 # --- panels --------------------------------------------------------------------------------------------
 
 _VOTES = "with v as (select user_id::varchar as sample_id, event_type as judge, (event_id % 4)::double as weight, (event_id % 11) / 10.0::double as score from events)"
@@ -294,6 +310,39 @@ def st4_request_sessions(spark: SparkSession, d: str) -> DataFrame:
 # --- choosing and comparing samples --------------------------------------------------------------------
 
 
+@REGISTRY.add("""select i.item_id, i.subset, coalesce(max(d.n_chars), 0)::double as score from eval_items i left join documents d on d.doc_id + 1000 = i.item_id group by 1, 2""")
+def j4_score_lookup(spark: SparkSession, d: str) -> DataFrame:
+    scores = table(spark, d, "documents").select((F.col("doc_id") + 1000).alias("item_id"), F.col("n_chars").cast("double").alias("score"))
+    return samples.with_scores(table(spark, d, "eval_items").select("item_id", "subset"), scores, "item_id")
+
+
+@REGISTRY.add("""select o.o_orderpriority as subset, round(coalesce(avg(l.l_quantity), -1), 6)::double as mean from orders o left join lineitem l on l.l_orderkey = o.o_orderkey and o.o_orderpriority < '4' group by 1""")
+def j6_refreshed_means(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    detail = orders.where("o_orderpriority < '4'").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("subset"), F.col("l_quantity").alias("score"))
+    summary = orders.select(F.col("o_orderpriority").alias("subset")).distinct().withColumn("mean", F.lit(-1.0))
+    return rounded(samples.refreshed_means(summary, detail))
+
+
+@REGISTRY.add("""select c_custkey, case when c_custkey % 7 = 0 then 'NEW' else c_mktsegment end as c_mktsegment from customer where c_custkey % 11 <> 3""")
+def sk11_upsert(spark: SparkSession, d: str) -> DataFrame:
+    current = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    changes = current.where((k % 7 == 0) | (k % 11 == 3)).select(k, F.when(k % 7 == 0, "NEW").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), (k % 11 == 3).alias("_deleted"))
+    return samples.upsert(current, changes, ["c_custkey"])
+
+
+@REGISTRY.add(f"""{_STAGES}, a as (select sample_id, count(*) filter (not success) as failed, max(latency_ms) as slowest, avg(case when success then 1.0 else 0.0 end) as ok from s group by sample_id)
+  select sample_id, round(0.3 * ok + 0.4 * 0.5 + 0.2 * ok + 0.1 * 1.0, 6)::double as overall,
+    ((failed > 0)::int + (slowest > 2000)::int + (ok < 0.6)::int + (ok < 0.7)::int)::int as advice from a""")
+def rp8_rp10_overall(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    a = e.groupBy(F.col("user_id").alias("sample_id")).agg(F.count_if(F.col("event_id") % 9 == 0).alias("failed"), F.max(F.col("value") * 30).alias("slowest"), F.avg((F.col("event_id") % 9 != 0).cast("double")).alias("ok"))
+    overall = stages.overall(F.col("ok"), F.lit(0.5), F.col("ok"), F.lit(1.0))
+    advice = stages.recommendations(F.col("ok"), F.col("slowest"), F.col("failed"), F.col("ok"), F.lit(1.0))
+    return a.select("sample_id", r6(overall).alias("overall"), F.size(advice).alias("advice"))
+
+
 @REGISTRY.add("select doc_id, source from documents where doc_id is not null order by n_chars desc nulls last, doc_id offset 20 limit 30")
 def o3_page(spark: SparkSession, d: str) -> DataFrame:
     return samples.page(table(spark, d, "documents"), [F.col("n_chars").desc_nulls_last(), "doc_id"], 20, 30).select("doc_id", "source")
