@@ -6,7 +6,7 @@ value the docstring names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ BOLD_CHOICE = r"\*\*([A-D])\.\s*[^*]*\*\*"
 MULTI_PATTERNS = (ANSWER_PATTERN, ANSWER_IS, BOLD_CHOICE, r"^([A-D])\.?\s*$", r"^([A-D])[\.\:]", r"\b([A-D])\b", r"([A-D])\s*$")
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it; without it an expression is evaluated at every use."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def strip(c: Column) -> Column:
     """Without blanks at either end; unlike trim, line breaks and tabs are blanks too."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -119,16 +124,25 @@ def token_f1(pred: Column, truth: Column, tokenize: bool = True, case_sensitive:
     """STRUCT<precision, recall, f1> of distinct tokens; all zero where either side has none."""
     side = lambda c: token_set(c) if tokenize else F.array_distinct(words(c))
     a, b = (side(c if case_sensitive else F.lower(c)) for c in (F.coalesce(pred, F.lit("")), F.coalesce(truth, F.lit(""))))
-    common = F.size(F.array_intersect(a, b)).cast("double")
-    p, r = (F.coalesce(common / F.nullif(F.size(x), F.lit(0)), F.lit(0.0)) for x in (a, b))
-    f1 = F.when(common > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return F.struct(p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+    def of(x: Column) -> Column:
+        share = lambda n: F.coalesce(x["common"] / F.nullif(n, F.lit(0)), F.lit(0.0))
+        f1 = F.when(x["common"] > 0, 2 * x["common"] / (x["n"] + x["m"])).otherwise(0.0)
+        return F.struct(share(x["n"]).alias("precision"), share(x["m"]).alias("recall"), f1.alias("f1"))
+
+    sets = F.struct(a.alias("a"), b.alias("b"))
+    counts = let(sets, lambda x: F.struct(F.size(F.array_intersect(x["a"], x["b"])).cast("double").alias("common"), F.size(x["a"]).alias("n"), F.size(x["b"]).alias("m")))
+    return let(counts, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays taken as sets; 0.0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0).cast("double")
+
+    def of(x: Column) -> Column:
+        union = F.size(F.array_union(x["a"], x["b"]))
+        return F.when(union > 0, F.size(F.array_intersect(x["a"], x["b"])) / union).otherwise(0.0).cast("double")
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
@@ -137,26 +151,33 @@ def word_jaccard(a: Column, b: Column) -> Column:
 
 def mean(xs: Column) -> Column:
     """Mean of an array of doubles, 0.0 if it is empty."""
-    return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)).otherwise(0.0)
+    return let(xs, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)).otherwise(0.0))
 
 
 def chunk_overlap(query: Column, chunks: Column) -> Column:
     """Mean word Jaccard of a query with each chunk; blank chunks count as 0."""
-    return mean(F.transform(chunks, lambda c: word_jaccard(query, c)))
+    return let(words(F.lower(query)), lambda q: mean(F.transform(chunks, lambda c: jaccard(q, words(F.lower(c))))))
 
 
 def pairs(xs: Column) -> Column:
     """All pairs of places i < j of one row's array, as structs."""
-    n = F.size(xs)
-    each = F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(F.get(xs, i).alias("a"), F.get(xs, j).alias("b"))))
-    return F.flatten(each)
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        first = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(first, lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(F.get(v, i).alias("a"), F.get(v, j).alias("b")))))
+
+    return let(xs, of)
 
 
 def chunk_diversity(chunks: Column) -> Column:
     """Mean of the share of distinct chunks and the mean pairwise word distance; 0.0 for fewer than two chunks."""
-    distance = mean(F.transform(pairs(chunks), lambda p: 1.0 - word_jaccard(p["a"], p["b"])))
-    unique = F.size(F.array_distinct(chunks)) / F.size(chunks)
-    return F.when(F.size(chunks) > 1, (unique + distance) / 2).otherwise(0.0)
+
+    def of(v: Column) -> Column:
+        distance = mean(F.transform(pairs(F.transform(v, lambda c: words(F.lower(c)))), lambda p: 1.0 - jaccard(p["a"], p["b"])))
+        return F.when(F.size(v) > 1, (F.size(F.array_distinct(v)) / F.size(v) + distance) / 2).otherwise(0.0)
+
+    return let(chunks, of)
 
 
 def distinct_share(xs: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions import vectors
-from assaykit.functions.text import mean, pairs
+from assaykit.functions.text import let, mean, pairs
 
 MAX_RANK = 5
 
@@ -41,59 +41,73 @@ def reciprocal_rank(rankings: Column, relevance: Column) -> Column:
     return F.coalesce(1.0 / F.nullif(F.array_min(ranks), F.lit(0)), F.lit(0.0))
 
 
-def _discounts(before: Column, count: Column) -> Column:
-    """Sum of 1 / log2(position + 1) over the `count` positions after `before`."""
-    return F.aggregate(F.sequence(before + 1, before + count), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+def _sorted_items(relevance: Column, predicted: Column) -> Column:
+    """(r, s) of every item, the greatest predicted score first."""
+    items = F.transform(predicted, lambda s, i: F.struct((-s.cast("double")).alias("s"), F.coalesce(F.get(relevance, i).cast("double"), F.lit(0.0)).alias("r")))
+    return F.array_sort(items)
 
 
 def ndcg(relevance: Column, predicted: Column) -> Column:
-    """Linear gain; items of equal predicted score share their mean gain. Fewer than two items, or no gain, give 0."""
-    n = F.size(predicted)
-    items = F.transform(predicted, lambda s, i: F.struct(s.cast("double").alias("s"), F.get(relevance, i).cast("double").alias("r")))
-    levels = F.reverse(F.array_sort(F.array_distinct(F.transform(predicted, lambda s: s.cast("double")))))
+    """Linear gain; items of equal predicted score share their mean gain. Fewer than two items, or no gain, give 0.
 
-    def of(level: Column) -> Column:
-        same = F.filter(items, lambda x: x["s"] == level)
-        before = F.size(F.filter(items, lambda x: x["s"] > level))
-        return mean(F.transform(same, lambda x: x["r"])) * _discounts(before, F.size(same))
+    One fold over the sorted items: `done` is the gain of finished groups of ties; of the open group it keeps
+    the sum of gains, the sum of discounts and the size.
+    """
+    d = lambda k: 1.0 / F.log2(k + 1.0)
+    close = lambda a: a["done"] + F.when(a["m"] > 0, a["gain"] / a["m"] * a["disc"]).otherwise(0.0)
+    state = lambda done, gain, disc, m, k, last: F.struct(done.alias("done"), gain.alias("gain"), disc.alias("disc"), m.alias("m"), k.alias("k"), last.alias("last"))
+    zero = state(*[F.lit(0.0)] * 5, F.lit(float("inf")))
+
+    def step(a: Column, x: Column) -> Column:
+        same, k = x["s"] == a["last"], a["k"] + 1.0
+        keep = lambda v: F.when(same, v).otherwise(0.0)
+        return state(F.when(same, a["done"]).otherwise(close(a)), keep(a["gain"]) + x["r"], keep(a["disc"]) + d(k), keep(a["m"]) + 1.0, k, x["s"])
 
-    gain = F.aggregate(F.transform(levels, of), F.lit(0.0), lambda s, x: s + x)
-    best = F.aggregate(
-        F.transform(F.reverse(F.array_sort(F.transform(relevance, lambda r: r.cast("double")))), lambda r, i: r / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x
-    )
-    return F.when((n > 1) & (best > 0), gain / best).otherwise(0.0)
+    gain = F.aggregate(_sorted_items(relevance, predicted), zero, step, close)
+    ideal = F.transform(F.reverse(F.array_sort(F.transform(relevance, lambda r: r.cast("double")))), lambda r, i: r / F.log2(i + 2.0))
+    best = F.aggregate(ideal, F.lit(0.0), lambda s, x: s + x)
+    return let(best, lambda b: F.when((F.size(predicted) > 1) & (b > 0), gain / b).otherwise(0.0))
 
 
 def average_precision(relevance: Column, predicted: Column) -> Column:
     """Sum of recall steps times precision over distinct thresholds; 0 unless labels are all 0 or 1 and one is 1."""
-    items = F.transform(predicted, lambda s, i: F.struct(s.cast("double").alias("s"), F.get(relevance, i).cast("double").alias("r")))
-    positives = F.size(F.filter(items, lambda x: x["r"] == 1))
-    binary = F.forall(items, lambda x: x["r"].isin(0.0, 1.0))
-    levels = F.array_distinct(F.transform(items, lambda x: x["s"]))
+    binary = F.forall(relevance, lambda r: r.cast("double").isin(0.0, 1.0))
+    positives = F.size(F.filter(relevance, lambda r: r.cast("double") == 1.0))
+    close = lambda a: a["sum"] + F.when(a["n"] > 0, a["open"] * (a["hits"] + a["open"]) / a["n"]).otherwise(0.0)
+    state = lambda total, hits, open_, n, last: F.struct(total.alias("sum"), hits.alias("hits"), open_.alias("open"), n.alias("n"), last.alias("last"))
+    zero = state(*[F.lit(0.0)] * 4, F.lit(float("inf")))
 
-    def of(level: Column) -> Column:
-        upto = F.filter(items, lambda x: x["s"] >= level)
-        hits = F.size(F.filter(upto, lambda x: x["r"] == 1))
-        new = F.size(F.filter(items, lambda x: (x["s"] == level) & (x["r"] == 1)))
-        return new / F.nullif(positives, F.lit(0)) * hits / F.size(upto)
+    def step(a: Column, x: Column) -> Column:
+        same = x["s"] == a["last"]
+        return state(
+            F.when(same, a["sum"]).otherwise(close(a)), F.when(same, a["hits"]).otherwise(a["hits"] + a["open"]), F.when(same, a["open"]).otherwise(0.0) + x["r"], a["n"] + 1.0, x["s"]
+        )
 
-    return F.when(binary & (positives > 0), F.aggregate(F.transform(levels, of), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+    total = F.aggregate(_sorted_items(relevance, predicted), zero, step, close)
+    return let(positives, lambda p: F.when(binary & (p > 0), total / p).otherwise(0.0))
 
 
 def ranking_scores(rankings: Column, relevance: Column) -> Column:
     """STRUCT<mrr, ndcg, map, avg_ranking, combined>; missing rankings give zeros, missing relevance counts as 1."""
     rel = F.coalesce(relevance, F.transform(rankings, lambda _: F.lit(1.0)))
-    z = _zip(rankings, rel)
-    labels, scores = F.transform(z, lambda x: x["rel"]), F.transform(z, lambda x: x["score"])
-    parts = {
-        "mrr": reciprocal_rank(rankings, rel), "ndcg": ndcg(labels, scores), "map": average_precision(labels, scores),
-        "avg_ranking": mean(F.transform(rankings, rank_score)),
-    }
-    parts = {k: F.coalesce(v, F.lit(0.0)) for k, v in parts.items()}
-    total = F.lit(0.0)
-    for v in parts.values():
-        total = total + v
-    return F.struct(*[v.alias(k) for k, v in parts.items()], (total / 4).alias("combined"))
+
+    def lists(x: Column) -> Column:
+        z = x["z"]
+        return F.struct(x["k"].alias("k"), x["l"].alias("l"), F.transform(z, lambda y: y["rel"]).alias("labels"), F.transform(z, lambda y: y["score"]).alias("scores"))
+
+    def scores(x: Column) -> Column:
+        zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+        return F.struct(
+            zero(reciprocal_rank(x["k"], x["l"]), "mrr"), zero(ndcg(x["labels"], x["scores"]), "ndcg"), zero(average_precision(x["labels"], x["scores"]), "map"),
+            zero(mean(F.transform(x["k"], rank_score)), "avg_ranking"),
+        )
+
+    def combined(x: Column) -> Column:
+        names = ("mrr", "ndcg", "map", "avg_ranking")
+        return F.struct(*[x[n].alias(n) for n in names], ((x["mrr"] + x["ndcg"] + x["map"] + x["avg_ranking"]) / 4).alias("combined"))
+
+    given = F.struct(rankings.alias("k"), rel.alias("l"), _zip(rankings, rel).alias("z"))
+    return let(let(let(given, lists), scores), combined)
 
 
 def semantic_similarity(query: Column, chunks: Column) -> Column:
