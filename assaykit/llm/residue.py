@@ -97,7 +97,7 @@ _SCRIPT = re.compile(
 _ABOUT_SCRIPT = re.compile(r"\b(?:lists?|listed|reports?|dropped|documented|explains?|described?|pages that|in the log|crawl|test(?:s|ed)?|bug|ticket|because the tool|was caught|retried|says)\b")
 _STATUS = re.compile(
     rf"\A\W*(?:(?:http|error|err|fehler|erreur|code|status)[ /:#-]*(?:\d\.\d )?)?0{{3}}\W{{1,3}}(?:{REASONS})\s*(?:\Z|[.:|–—!-])|\A\W*(?:{REASONS})\W*\Z|"
-    r"\A\W*(?:http|error|fehler|erreur|error code)[ :#-]*0{1,5} ?(?:[|:–—-]|\.(?!\d)|\Z)|<title>\s*0{3}\b"
+    r"\A\W*(?:http|error|fehler|erreur|error code)[ :#-]*0{1,5} ?(?:[|:–—-]|\.(?!\d)|\Z)|<title>\s*(?:(?:error|http|fehler|erreur)\s*)?0{3,5}\b"
 )
 _HEAD = re.compile(r"\A\W*0{3}\s*[|:–—.-]\s*")
 _JSON_ERROR = re.compile(r'\A\{\s*"(?:status|error|code|message|detail|title|errors|type|success)"\s*:.*"(?:status|error|code|message|detail)"\s*:.*\}\W*\Z')
@@ -105,13 +105,13 @@ _ERROR = re.compile(
     r"\A\W*(?:(?:we(?: are|'re) (?:very )?sorry|sorry|whoops|oops|hm+|uh[- ]oh|oh no|attention|notice|warning|error|fehler|erreur|page error|server message)\b[ ,:!.|–-]*)?(?:but )?(?:"
     r"access (?:is |was )?denied|you do(?: not|n't) have permission[\w ]*|permission denied|(?:the )?page (?:was |could )?not (?:be )?found|"
     r"(?:the|this) (?:page|address|document|resource|file|report|site|service|link)(?: you (?:are looking for|asked for|opened|requested|want))? (?:has been|was|is|could|does|can)\b[\w ,']{0,20}\b(?:moved|deleted|removed|not (?:be )?(?:rendered|found|loaded|shown|here|available|exist)|temporarily|unavailable|gone)[\w ,]*|"
-    r"(?:an? )?(?:unexpected|internal|unknown) (?:condition|error|problem)(?: was met| (?:has )?occurred| happened)?|something went wrong|"
+    r"(?:an? )?(?:unexpected|internal|unknown) (?:condition|error|problem)(?: was met| (?:has )?occurred| happened)?|something (?:went wrong|broke|failed)(?: on our (?:side|end))?|(?:our|the) team has been (?:told|informed|notified)(?: about (?:the|this) (?:problem|error|issue))?|"
     r"(?:your|the) (?:session|login|link|token)(?: has| is)? (?:has |is )?(?:expired|run out|timed out|ended)|(?:your|this|the) request (?:was|has been|is|could)\b[\w ]{0,20}(?:blocked|rejected|denied|not be [\w ]*|refused)|"
     r"we (?:cannot|can't|could not|are unable to) (?:show|load|find|open|display|reach)[\w ]*|(?:could not|cannot|unable to|failed to) (?:connect to|reach|load|find|open)[\w ]{0,40}|"
     r"you have (?:hit|reached|exceeded) [\w ]*limit[\w ,]*|your browser is (?:not|no longer) supported[\w ,]*|(?:this|the) content is not available[\w ]*|use a newer browser|"
     r"(?:the )?(?:upstream )?(?:server|gateway|proxy) (?:sent|returned|did not|is|was|has)[\w ]{0,40}|too many requests|(?:no route to|connection (?:to|refused|reset|timed))[\w ]*|"
     r"(?:this|the|our) (?:service|site|page|server|viewer)(?: is)?(?: currently| temporarily)? (?:unavailable|down|offline|under maintenance)[\w ]*"
-    r")\W*(?:(?:try again|please|reference|reload|use the|sign in|check)\b.{0,80})?\Z"
+    r")\W*(?:(?:try again|please|reference|reload|use the|sign in|check|in a few)\b.{0,80})?\Z"
 )
 _ERROR_ABROAD = re.compile(
     r"\A\W*(?:(?:fehler|erreur|error) (?:0{1,4}\W*)?(?:interne?r?o?\b.*)?|"

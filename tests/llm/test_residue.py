@@ -15,7 +15,7 @@ DOCS = "doc_id long, text string"
         "%(user_name)s looks wrong", "[your name]", "(company name goes here)", "(insertar nombre aquí)", "[nom du produit à compléter]", "xxxx to be filled in xxxx", "todo: write this section", "title goes here", "your text here",
         "lorem ipsum dolor sit amet magna", "blah blah blah blah blah blah blah", "undefined undefined [object object] nan", "sample paragraph, replace later.", "dies ist ein blindtext.", "texte provisoire.",
         "000 not found", "000 - page not found.", "http 000: this resource was removed.", "<html><head><title>000 bad gateway</title></head></html>", '{"status": "error", "detail": "gone", "code": 000}', "your session has expired.",
-        "access denied.", "seite nicht gefunden.", "erreur interne du serveur.", "página no encontrada.", "javascript is disabled in your browser; turn it on and reload.", "this site requires scripts.",
+        "access denied.", "something broke on our side, please try again in a few minutes.", "our team has been told about the problem.", "<html><head><title>error 0000</title></head></html>", "seite nicht gefunden.", "erreur interne du serveur.", "página no encontrada.", "javascript is disabled in your browser; turn it on and reload.", "this site requires scripts.",
         "veuillez activer javascript pour afficher cette page.", "checking your browser before you continue.", "the viewer works only with scripting allowed.",
     ],
 )
