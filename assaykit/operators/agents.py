@@ -119,12 +119,14 @@ def span_turns(spans: DataFrame) -> DataFrame:
     The last span of a trace by start has agent_exit; of equal starts the one with the greater id. A span
     with several agent or tool inputs has them all in `ambiguous_input` and no agent_task.
     """
-    from pyspark.sql import Window as W
-
     a = F.col("attributes")
     inputs = F.map_filter(a, lambda k, _: (k.startswith("agent.input.") & (k != "agent.input.topic")) | k.startswith("tool.input."))
     one = F.try_element_at(F.map_values(inputs), F.lit(1))
-    last = F.lead("span_id").over(W.partitionBy("trace_id").orderBy("start_time", "span_id")).isNull()
+    # An aggregate and a join instead of a window: a trace of very many spans is reduced where they are read.
+    at = F.struct(F.coalesce("start_time", F.lit("")).alias("s"), F.col("span_id").alias("i"))
+    last_of = spans.groupBy(F.coalesce("trace_id", F.lit("")).alias("_t")).agg(F.max(at).alias("_last"))
+    spans = spans.join(last_of, F.coalesce("trace_id", F.lit("")) == F.col("_t"))
+    last = at == F.col("_last")
     return spans.select(
         F.col("trace_id").alias("task_id"), F.col("span_id").alias("turn_id"), _first(a, "agent.output.result", "tool.output.result", "llm.completion").alias("agent_response"),
         F.coalesce(_first(a, "agent.type", "tool.type", "llm.provider"), F.lit("")).alias("agent_role"),

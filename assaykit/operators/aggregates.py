@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.session import cut
+
 KEYS = ("user_id", "task_id", "turn_id", "agent_name")
 
 #: Aggregates by name. A group without scores gives 0.0.
@@ -208,14 +210,18 @@ def outliers(means: DataFrame, score: str = "accuracy", limit: float = 1.96) ->
 
 
 def average_ranks(df: DataFrame, col: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """df with ranks of `col` in which ties share their mean rank.
+    """df with ranks of `col` in which ties share their mean rank; null values and keys have none.
 
-    Ranks come from the counts of distinct values, so ties never gather in one task; without `by` the
-    distinct values are ordered in one.
+    The distinct values with their counts are split by range; ranks within a part are moved by the counts of
+    the parts before it. So neither ties nor a large group gather in one task.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*by).orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranks = counts.withColumn(out, upto - (F.col("_n") - 1) / 2.0).drop("_n")
+    parts = cut(counts.repartitionByRange(*by, col).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_t").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_t")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_t")
+    within = F.sum("_n").over(W.partitionBy(*by, "_part").orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranks = parts.withColumn("_within", within).join(starts, [*by, "_part"])
+    ranks = ranks.select(*by, col, (F.col("_before") + F.col("_within") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(ranks, [*by, col], "left")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only after it was measured and found to have at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def get_session(app: str = "assaykit", cpus: str = "8", **conf: str) -> SparkSession:
@@ -45,10 +46,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows, else df as it is.
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
+        return F.size(c) * 8
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.length(F.to_json(F.struct(c)))
+    return F.lit(8)
 
-    Call it on a materialised (cut) table: the rows are counted. Beyond the limit Catalyst joins by
-    shuffle and adaptive execution splits skewed partitions.
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to have at most so many rows and bytes, else df as it is.
+
+    Call it on a materialised (cut) table: it is read once. Beyond the limits Catalyst joins by shuffle and
+    adaptive execution splits skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    width = F.lit(0)
+    for f in df.schema.fields:
+        width = width + F.coalesce(_bytes(F.col(f"`{f.name}`"), f.dataType), F.lit(0))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df

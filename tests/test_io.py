@@ -117,3 +117,15 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / "c.json").write_text('{"a": {"b": 1, "c": "${NAME}"}}')
     config = jobs.load_config(str(tmp_path / "c.json"))
     assert config == {"a": {"b": "2", "c": "n"}} and jobs.lookup(config, "a.c") == "n" and jobs.lookup(config, "a.x", 5) == 5
+
+
+def test_presets(spark):
+    from assaykit.sources import presets
+
+    squad = spark.createDataFrame([("c", "q", (["a", "b"],)), (None, "q2", ([],))], "context string, question string, answers struct<text: array<string>>")
+    assert [(r["input"], r["expected"]) for r in presets.reading_comprehension(squad).orderBy("input").collect()] == [("Context: \nQuestion: q2", ""), ("Context: c\nQuestion: q", "a")]
+    swag = spark.createDataFrame([("c", ["x", "y"], 1)], "ctx string, endings array<string>, label int")
+    assert presets.sentence_completion(swag).first()["input"] == "c\nChoices:\n0. x\n1. y"
+    with pytest.raises(ValueError):
+        presets.language_understanding(swag, "none")
+    assert len(presets.SUBJECTS) == 57 and len(presets.GLUE_INPUT) == 9

@@ -193,3 +193,42 @@ def test_bins_and_ranks(spark):
     assert sorted(r["r"] for r in aggregates.average_ranks(df, "x", "r").collect()) == [1.0, 2.0, 3.5, 3.5]
     same = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert aggregates.correlations(same, "x", "y").first()["pearson"] is None
+
+
+def test_exact_percentiles_of_many_values(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"k": rng.choice(["a", "b"], 30_000, p=[0.9, 0.1]), "v": np.concatenate([rng.normal(0, 1, 15_000), np.round(rng.exponential(5, 15_000))])})
+    df = spark.createDataFrame(pd.concat([frame, pd.DataFrame({"k": ["one"], "v": [4.0]})]))
+    got = {(r["k"], r["q"]): r["value"] for r in requests.exact_percentiles(df, "k", "v", (0.0, 0.5, 0.95, 1.0), 1000).collect()}
+    for k, xs in [*((k, g["v"]) for k, g in frame.groupby("k")), ("one", [4.0])]:
+        for q in (0.0, 0.5, 0.95, 1.0):
+            assert abs(got[k, q] - np.percentile(xs, q * 100)) < 1e-9, (k, q)
+
+
+def test_upsert_and_lookups(spark):
+    current = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    changes = spark.createDataFrame([(2, "c", None), (3, "x", True), (4, "d", False)], "k int, v string, _deleted boolean")
+    assert {tuple(r) for r in samples.upsert(current, changes, ["k"]).collect()} == {(1, "a"), (2, "c"), (4, "d")}
+    scores = spark.createDataFrame([(1, 0.5), (1, 0.7)], "k int, score double")
+    assert {(r["k"], r["score"]) for r in samples.with_scores(current, scores, "k").collect()} == {(1, 0.7), (2, 0.0), (3, 0.0)}
+    with pytest.raises(ValueError):
+        samples.search_items(current, version="1.2")
+
+
+def test_evaluate_turns(spark):
+    df = spark.createDataFrame([("u", "t", "1", "a", "do", "role", "sys", "resp", "true", '{"score": 4, "reasoning": "r"}'), ("u", "t", "2", "a", None, "role", "sys", "resp", "no", "5")],
+        "user_id string, task_id string, turn_id string, agent_name string, agent_task string, agent_role string, system_prompt string, agent_response string, agent_exit string, r string")
+    typed = agents.typed_turns(df).join(df.select("turn_id", "r"), "turn_id")
+    got = {r["turn_id"]: (r["task_progression"], r["task_progression_valid"]) for r in agents.evaluate_turns(typed, {"task_progression": "r"}).collect()}
+    assert got == {"1": (4.0, True), "2": (0.0, False)}
+
+
+def test_small_side_measures(spark):
+    from assaykit.session import small_side
+
+    wide = spark.createDataFrame([("x" * 1000,)] * 50, "s string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small_side(wide)) and not hinted(small_side(wide, size=10_000)) and not hinted(small_side(wide, rows=10))
