@@ -76,11 +76,11 @@ def text_features(text: str) -> list[str]:
 
 
 def classify(docs: DataFrame, sources: list[str]) -> DataFrame:
-    """(doc, posterior): an array of probabilities in the order of sources, for documents (doc, text) without source.
+    """(doc, tokens, posterior): an array of probabilities in the order of sources, for the rows without source.
 
-    Fitted on a bounded, hash-chosen sample of docs (doc, text, source) that have one.
+    docs: (doc, text, source, tokens). Fitted on a bounded, hash-chosen sample of the rows that have a source.
     """
-    labelled = docs.where("source is not null and length(text) > 0")
+    labelled = docs.where("source is not null and length(text) > 0").select("doc", "text", "source")
     share = max(1, labelled.count() // (3 * SAMPLE_DOCS))
     chosen = labelled.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).orderBy(F.xxhash64("doc", F.lit(1))).limit(SAMPLE_DOCS)
     sample = chosen.select("text", "source").collect()
@@ -98,9 +98,9 @@ def classify(docs: DataFrame, sources: list[str]) -> DataFrame:
         model, prior = shared.value
         for batch in batches:
             p = model.scores([indices(text_features(t if isinstance(t, str) else "")) for t in batch["text"]]) + 1e-6 * prior
-            yield pd.DataFrame({"doc": batch["doc"], "posterior": list((p / p.sum(axis=1, keepdims=True)).tolist())})
+            yield pd.DataFrame({"doc": batch["doc"], "tokens": batch["tokens"], "posterior": list((p / p.sum(axis=1, keepdims=True)).tolist())})
 
-    return docs.where("source is null").select("doc", "text").mapInPandas(predict, "doc bigint, posterior array<double>")
+    return docs.where("source is null and tokens > 0").select("doc", "text", "tokens").mapInPandas(predict, "doc bigint, tokens bigint, posterior array<double>")
 
 
 def _targets(targets: DataFrame, total: int, sources: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -166,7 +166,8 @@ def mix(
         F.col("max_repeats").alias("repeats"), F.col("size_ratio").alias("size"),
     ).where("mix is not null and source is not null")
     base = docs.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), source_key(F.col(f"`{source_col}`").cast("string")).alias("source"))
-    sized = cut(with_tokens(base, "text", tokenizer).select("doc", "source", "tokens"))
+    counted = with_tokens(base, "text", tokenizer)
+    sized = cut(counted.select("doc", "source", "tokens"))
     names = sized.select("source").unionByName(want.select("source")).where("source is not null").distinct().limit(MAX_SOURCES + 1).collect()
     if len(names) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -180,28 +181,24 @@ def mix(
             spark.createDataFrame([], "mix_name string, source string, target_tokens double, target_share double, actual_tokens bigint, actual_share double, available_tokens bigint, max_repeats int"),
         )
     one_hot = F.transform(F.array(*[F.lit(s) for s in sources]), lambda s: (s == F.col("source")).cast("double"))
-    posterior = classify(base, sources)
     limit_of = lambda place: F.array(*[F.element_at(F.array(*[F.lit(float(x)) for x in limits[i]]), place + 1) for i in range(len(mixes))])
     best = lambda p: F.array_position(p, F.array_max(p)).cast("int") - 1
-    soft = cut(
-        sized.where("source is null and tokens > 0").join(posterior, "doc").dropDuplicates(["doc"]).withColumn("best", best(F.col("posterior")))
-        .select("doc", F.col("tokens").cast("double"), F.col("posterior").alias("p"), "best")
-    )
+    soft = cut(classify(counted, sources).withColumn("best", best(F.col("posterior"))).select("doc", F.lit(False).alias("whole"), F.col("tokens").cast("double"), F.col("posterior").alias("p"), "best"))
     # Documents of one source move alike: they are one unit, so that the iterations run over few rows.
     hard = (
         sized.where("source is not null and tokens > 0").groupBy("source").agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("p", one_hot)
-        .select(F.lit(None).cast("bigint").alias("doc"), "tokens", "p", best(F.col("p")).alias("best"))
+        .select(F.lit(None).cast("bigint").alias("doc"), F.lit(True).alias("whole"), "tokens", "p", best(F.col("p")).alias("best"))
     )
     units = cut(hard.unionByName(soft).withColumn("limits", limit_of(F.col("best"))))
     rated = cut(fit_rates(units, mixes, target, sources))
     name_of = F.element_at(F.array(*[F.lit(s) for s in sources]), F.col("best") + 1)
-    long = rated.select("doc", "best", name_of.alias("source"), F.posexplode("rates").alias("m", "rate"))
+    long = rated.select("doc", "whole", "tokens", name_of.alias("source"), F.posexplode("rates").alias("m", "rate"))
     mix_name = F.element_at(F.array(*[F.lit(x) for x in mixes]), F.col("m") + 1)
-    by_source = long.where("doc is null").select("m", "source", "rate")
-    by_doc = long.where("doc is not null").select("m", "doc", "source", "rate")
+    by_source = long.where("whole").select("m", "source", "rate")
+    by_doc = long.where("not whole").select("m", "doc", "source", F.col("tokens").cast("long").alias("tokens"), "rate")
     # Rates by source: one row per mix and source, at most MAX_SOURCES times the mixes.
     each = sized.where("source is not null and tokens > 0").join(F.broadcast(by_source), "source").select("m", "doc", "source", "tokens", "rate")
-    each = each.unionByName(by_doc.join(sized.select("doc", "tokens").dropDuplicates(["doc"]), "doc").select("m", "doc", "source", "tokens", "rate"))
+    each = each.unionByName(by_doc)
     used = _rounded(each).withColumn("mix_name", mix_name)
     documents = used.where("repeats > 0").select("mix_name", F.col("doc").alias(doc_col), "source", "tokens", "repeats")
     actual = documents.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("actual_tokens"))
