@@ -30,6 +30,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 #: The classifier is fitted on at most so many labelled documents, chosen by hash.
 SAMPLE_DOCS = 8_000
+#: Longer documents are classified but not fitted on.
+SAMPLE_CHARS = 50_000
 #: Sources are columns of the membership; more than so many are an error.
 MAX_SOURCES = 500
 ITERATIONS = 30
@@ -80,7 +82,7 @@ def classify(docs: DataFrame, sources: list[str]) -> DataFrame:
 
     docs: (doc, text, source, tokens). Fitted on a bounded, hash-chosen sample of the rows that have a source.
     """
-    labelled = docs.where("source is not null and length(text) > 0").select("doc", "text", "source")
+    labelled = docs.where(F.col("source").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)).select("doc", "text", "source")
     share = max(1, labelled.count() // (3 * SAMPLE_DOCS))
     chosen = labelled.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).orderBy(F.xxhash64("doc", F.lit(1))).limit(SAMPLE_DOCS)
     sample = chosen.select("text", "source").collect()
