@@ -358,7 +358,7 @@ def x2_version_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REGISTRY.add("select qa_id::varchar as id, input, expected, dataset_slug as original_dataset_slug from qa_dataset where input is not null and expected is not null")
-def p1_canonical_samples(spark: SparkSession, d: str) -> DataFrame:
+def pr1_canonical_samples(spark: SparkSession, d: str) -> DataFrame:
     out = samples.canonical(table(spark, d, "qa_dataset").drop("metadata"), id_col="qa_id")
     return out.select("id", "input", "expected", "original_dataset_slug")
 

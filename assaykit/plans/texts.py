@@ -191,12 +191,12 @@ def t19_t24_listed_items(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.add("""select item_id::varchar as id, 'Question: ' || question || chr(10) || array_to_string(list_transform(range(1, len(choices) + 1), lambda i: chr((64 + i)::int) || '. ' || choices[i] || chr(10)), '') || 'Answer:' as input,
   choices[answer + 1] as expected, subset as subject from eval_items""")
-def p3_choice_prompts(spark: SparkSession, d: str) -> DataFrame:
+def pr3_choice_prompts(spark: SparkSession, d: str) -> DataFrame:
     return samples.choice_samples(table(spark, d, "eval_items")).select("id", "input", "expected", "subject")
 
 
 @REGISTRY.add("select item_id, len(choices)::int as n, answer::int as found from (select item_id, choices, list_position(list_transform(choices, lambda c: lower(trim(c))), lower(trim(choices[answer + 1]))) - 1 as answer from eval_items)")
-def p16_p17_choices_from_prompt(spark: SparkSession, d: str) -> DataFrame:
+def pr16_pr17_choices_from_prompt(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items")
     prompt = text.multiple_choice_prompt(F.col("question"), F.col("choices"))
     got = items.select("item_id", F.get("choices", "answer").alias("expected"), text.choices_in(prompt).alias("found_choices"))

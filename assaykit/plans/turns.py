@@ -86,7 +86,7 @@ def _typed(f: str, open_: str, close: str) -> str:
 @REGISTRY.add(f"""select row_id, coalesce({_typed('tools_available', '[', ']')}, false) as tools_typed, coalesce({_typed('tool_calls', '[', ']')}, false) as calls_typed, coalesce({_typed('parameters_passed', '{', '}')}, false) as parameters_typed,
   tools_available is not null and not coalesce({_typed('tools_available', '[', ']')}, false) as tools_raw,
   case when lower(trim(agent_exit)) in ('true', '1', 'yes', 'on') then true when lower(trim(agent_exit)) in ('false', '0', 'no', 'off') then false end as agent_exit from simple_agent_dataset""")
-def p5_typed_turns(spark: SparkSession, d: str) -> DataFrame:
+def pr5_typed_turns(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "simple_agent_dataset")
     typed = agents.typed_turns(t.withColumn("turn_id", F.col("row_id")))
     return typed.select(
@@ -131,14 +131,14 @@ def w1_last_span(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.add("""with s as (select delivery_id, unnest(spans) as s, (generate_subscripts(spans, 1) - 1)::int as pos, len(spans) as n from sample_traces)
   select delivery_id, pos, s.name as name, pos = n - 1 as agent_exit from s where s is not null""")
-def p6_steps(spark: SparkSession, d: str) -> DataFrame:
+def pr6_steps(spark: SparkSession, d: str) -> DataFrame:
     steps = agents.trajectory_steps(table(spark, d, "sample_traces").select("delivery_id", "spans"), "spans")
     return steps.select("delivery_id", "pos", F.col("step.name").alias("name"), "agent_exit")
 
 
 @REGISTRY.add("""with c as (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as c from documents where text is not null)
   select doc_id as query, len(c)::int as contexts, c[1] as first from c""")
-def p13_rag_samples(spark: SparkSession, d: str) -> DataFrame:
+def pr13_rag_samples(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     out = agents.rag_samples(docs, "doc_id", "source", "lang", "text")
     return out.select("query", F.size("retrieved_contexts").alias("contexts"), F.try_element_at("retrieved_contexts", F.lit(1))["content"].alias("first"))
