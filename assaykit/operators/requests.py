@@ -123,22 +123,22 @@ def exact_percentiles(df: DataFrame, by: str, value: str, quantiles: tuple[float
     margin = 2.0 / accuracy
     edges = [e for q in quantiles for e in (max(0.0, q - margin), min(1.0, q + margin))]
     found = rows.groupBy(by).agg(F.percentile_approx("v", edges, accuracy).alias("e"), F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # Interpolation may need the value after the bracket, so edges at the ends are the extremes themselves.
     each = F.array(*[
         F.struct(F.lit(q).alias("q"), F.when(F.lit(edges[2 * i]) <= 0, F.col("lo")).otherwise(F.col("e")[2 * i]).alias("low"), F.when(F.lit(edges[2 * i + 1]) >= 1, F.col("hi")).otherwise(F.col("e")[2 * i + 1]).alias("high"))
         for i, q in enumerate(quantiles)
     ])
     brackets = cut(found.select(F.col(by).alias("_k"), "n", F.inline(each)))
     joined = rows.join(small_side(brackets), F.col(by) == F.col("_k"))
-    inside = F.col("v").between(F.col("low"), F.col("high"))
+    # What is below and above a bracket is counted as a whole; interpolation in a small group may need its nearest value.
+    zone = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
     counts = (
-        joined.where(F.col("v") <= F.col("high"))
-        .groupBy(by, "q", "n", F.when(inside, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        joined.groupBy(by, "q", "n", zone.alias("zone"), F.when(zone == 0, F.col("v")).alias("inside"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .withColumn("v", F.when(F.col("zone") < 0, F.col("most")).otherwise(F.col("least")))
     )
-    upto = F.sum("c").over(W.partitionBy(by, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    upto = F.sum("c").over(W.partitionBy(by, "q").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
     place = F.col("q") * (F.col("n") - 1)
-    ranked = counts.withColumn("last", upto).withColumn("first", F.col("last") - F.col("c") + 1).where("v is not null")
+    ranked = counts.withColumn("last", upto).withColumn("first", F.col("last") - F.col("c") + 1)
     at = lambda r: F.min(F.when((F.col("first") <= r + 1) & (F.col("last") >= r + 1), F.col("v")))
     out = ranked.groupBy(by, "q", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
     return out.select(by, "q", (F.col("a") + (place - F.floor(place)) * (F.col("b") - F.col("a"))).alias("value"))
