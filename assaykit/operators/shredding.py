@@ -125,15 +125,20 @@ def json_adjacency(
     return df.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{body_col}`").cast("string").alias("body")).mapInPandas(shred, ADJACENCY)
 
 
-def typed_adjacency(df: DataFrame, doc_col: str, root_col: str, array_col: str, scalars: dict[str, str]) -> DataFrame:
-    """Adjacency rows of an array of structs: an object node per element, a scalar child per label.
+def typed_adjacency(df: DataFrame, doc_col: str, root_col: str, array_col: str, scalars: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Adjacency rows of an array of structs: for each element, which is an object node, a scalar child per label.
 
-    scalars: label -> SQL on the element `e`. The record itself is node 0; null elements have no node.
+    scalars: label -> (field, key in the field if it is a map). The record itself is node 0. Fields are taken
+    out of the array before it is exploded, so that the scan reads no others. Null elements have null children.
     """
-    elements = df.select(
-        F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{root_col}`").cast("string").alias("root"), F.posexplode(F.col(f"`{array_col}`")).alias("ordinal", "e")
-    ).where("e is not null")
-    children = ", ".join(f"'{label}', cast({sql} as string)" for label, sql in scalars.items())
+
+    def column(field: str, key: str | None) -> Column:
+        values = F.col(f"`{array_col}`.`{field}`")
+        return values if key is None else F.transform(values, lambda m: F.try_element_at(m, F.lit(key)))
+
+    zipped = F.arrays_zip(*[column(field, key).alias(f"c{i}") for i, (field, key) in enumerate(scalars.values())])
+    elements = df.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{root_col}`").cast("string").alias("root"), F.posexplode(zipped).alias("ordinal", "e"))
+    children = ", ".join(f"'{label}', cast(e.c{i} as string)" for i, label in enumerate(scalars))
     return elements.selectExpr(
         "doc", "root", "ordinal", f"stack({len(scalars)}, {children}) as (label, scalar)"
     ).selectExpr("doc", "root", "-1 as node", "ordinal + 1 as parent", "label", "ordinal", "'scalar' as kind", "scalar")
@@ -161,7 +166,7 @@ def span_adjacency(traces: DataFrame, payloads: DataFrame) -> DataFrame:
     """Adjacency of the spans of both tables, with the labels that SPAN_LABELS pivots."""
     typed = typed_adjacency(
         traces, "delivery_id", "trace_id", "spans",
-        {"span_id": "e.span_id", "parent_span_id": "e.parent_span_id", "attributes.operation.type": "try_element_at(e.attributes, 'operation.type')"},
+        {"span_id": ("span_id", None), "parent_span_id": ("parent_span_id", None), "attributes.operation.type": ("attributes", "operation.type")},
     )
     # The two tables number their records separately; negative documents keep them apart.
     text = json_adjacency(payloads, "payload_id", "body", labels=tuple(SPAN_LABELS.values())).withColumn("doc", -F.col("doc") - 1)
@@ -188,7 +193,7 @@ def span_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
 def attribute_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
     """(trace_id, span_id, key, value): the attributes of every span, each once."""
     typed = (
-        traces.select("trace_id", F.explode("spans").alias("e"))
+        traces.select("trace_id", F.explode(F.arrays_zip(F.col("spans.span_id").alias("span_id"), F.col("spans.attributes").alias("attributes"))).alias("e"))
         .where("e.span_id is not null")
         .select(F.coalesce("trace_id", F.lit("")).alias("trace_id"), F.col("e.span_id").alias("span_id"), F.explode("e.attributes").alias("key", "value"))
     )
