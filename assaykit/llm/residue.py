@@ -94,7 +94,14 @@ _SCRIPT = re.compile(
     r"\baktivieren sie (?:bitte )?(?:javascript|cookies|skripte)|\b(?:javascript|skripte?) (?:ist|sind|muss|müssen)\b[^.]{0,40}\b(?:deaktiviert|ausgeschaltet|aktiviert|blockiert|abgeschaltet|eingeschaltet)|\bihr(?:en)? browser (?:wird )?(?:geprüft|überprüft)|"
     r"\bactiver (?:le )?javascript|\bjavascript (?:est|doit)\b[^.]{0,30}\b(?:désactivé|activé|bloqué|requis|nécessaire)|\bactiv(?:e|ar|en) javascript|\bhabilit(?:e|ar) javascript|\bjavascript (?:está|debe)\b"
 )
-_ABOUT_SCRIPT = re.compile(r"\b(?:lists?|listed|reports?|dropped|documented|explains?|described?|pages that|in the log|crawl|test(?:s|ed)?|bug|ticket|because the tool|was caught|retried|says)\b")
+# Reports name a script notice: who reports it and how, or a notice that is itself spoken of, stands before it; or what becomes of pages with it stands around it.
+_REPORTS_SCRIPT = re.compile(
+    r"\b(?:crawl(?:er)?|log|ticket|bug|test|report|changelog|guide|documentation|audit)s?(?: (?!(?:is|are|was|were|be|you|can|will)\b)[\w'-]+){0,4} "
+    r"(?:lists|listed|reports|reported|says|said|explains|explained|describes|described|documents|documented|mentions|mentioned|notes|noted|states|counts|counted|dropped|found|caught|shows|showed)\b|"
+    r"(?<!this is )\b(?:an?|the) (?:request|notice|message|banner|hint|warning|prompt) (?:to|that|about|saying)(?: \w+){0,3} ?\Z"
+)
+_PAGES_WITH_SCRIPT = re.compile(r"\b(?:pages|sites|documents|responses|requests|runs|cases|tests)\b")
+_PAGES_TREATED = re.compile(r"\bw(?:as|ere) (?:\w+ )?(?:dropped|caught|retried|logged|counted|filtered|reported|listed|excluded|skipped|fixed)\b")
 _STATUS = re.compile(
     rf"\A\W*(?:(?:http|error|err|fehler|erreur|code|status)[ /:#-]*(?:\d\.\d )?)?0{{3}}\W{{1,3}}(?:{REASONS})\s*(?:\Z|[.:|–—!-])|\A\W*(?:{REASONS})\W*\Z|"
     r"\A\W*(?:http|error|fehler|erreur|error code)[ :#-]*0{1,5} ?(?:[|:–—-]|\.(?!\d)|\Z)|<title>\s*(?:(?:error|http|fehler|erreur)\s*)?0{3,5}\b"
@@ -122,42 +129,78 @@ _ERROR_ABROAD = re.compile(
     r"(?:la )?página (?:solicitada )?no (?:encontrada|existe|disponible|se encuentra).*|error (?:interno )?del servidor|acceso (?:denegado|prohibido)|(?:su |la )?sesión (?:ha )?(?:caducado|expirado|caducada|expirada).*|"
     r"(?:el )?servicio no (?:está )?disponible.*|demasiadas solicitudes.*)\W*\Z"
 )
-_SOUND = re.compile(r"\b(?:designers? of|style guide|the template (?:fills|uses|has)|todo list of|style slots|before each call|in python|the record|the shell step)\b")
+_TICKED = re.compile(r"(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)")
+#: Stands for inline code: neither a word nor a mark that rules skip.
+_CODE_MARK = " 0§0 "
+# A slot that is spoken of: the words before or behind it name it as a slot, or as what a template replaces.
+_NAMED_BEFORE = re.compile(
+    r"(?:\b(?:slots?|placeholders?|template variables?)(?: (?:named|called|like|such as))?|"
+    r"\b(?:template|renderer|formatter|parser|template engine)s? (?:\w+ )?(?:fills|replaces|substitutes|expands|renders|fill|replace|substitute|expand|render)(?: in)?(?: (?:the|each|every))?|"
+    r"§(?:,|,? and|,? or)?) ?[\"'“„«(]?\Z"
+)
+_NAMED_BEHIND = re.compile(r"[\"'”“»)]? (?:style )?(?:slots?|placeholders?|template variables?)\b")
+
+
+def _slots_left(prose: str) -> bool | None:
+    """True: a slot stands in place of content; False: slots are only spoken of; None: there is none."""
+    plain = _CODE.sub(" ", prose)
+    found = [m for pattern in (_SLOTS, _BRACKET) for m in pattern.finditer(plain)]
+    found += [m for m in _ANGLE.finditer(plain) if m[1] not in TAGS and f"</{m[1]}>" not in plain]
+    dollars = list(_DOLLARS.finditer(prose))
+    for text, slots in ((plain, sorted(found, key=lambda m: (m.start(), -m.end()))), (prose, dollars)):
+        end = -100
+        for m in slots:
+            if m.end() <= end:  # part of the slot before
+                continue
+            before = "§" + text[end : m.start()].lstrip("\"'”“»)") if m.start() - end < 10 else text[max(0, m.start() - 80) : m.start()]
+            if not (_NAMED_BEFORE.search(before) or _NAMED_BEHIND.match(text, m.end())):
+                return True
+            end = m.end()
+    return False if found or dollars else None
+
+
+def _script_notice(prose: str) -> bool | None:
+    """True: a notice about scripts; False: such notices are only reported; None: there is none."""
+    notice = None
+    for m in _SCRIPT.finditer(prose):
+        before, behind = prose[: m.start()], prose[m.end() :]
+        if not (_REPORTS_SCRIPT.search(before) or _PAGES_WITH_SCRIPT.search(before) and _PAGES_TREATED.search(behind)):
+            return True
+        notice = False
+    return notice
 
 
 def trusted(passage: str) -> int:
     """1: residue as a whole, 2: holds residue beside other words, -1: sound writing about such things, 0: neither is sure.
 
-    The passage is as passages() gives it.
+    The passage is as passages() gives it. Inline code is no content of its own; all rules see what is left without it.
     """
     text = passage
     if "&" in text:
         text = html.unescape(text)
-    if "`" in text or _SOUND.search(text):
-        plain = _CODE.sub(" ", text)
-        return 2 if "`" in text and not _SOUND.search(text) and _SLOTS.search(plain) else -1
-    plain = _CODE.sub(" ", text)
-    if _DOLLARS.search(text):
+    prose = _TICKED.sub(_CODE_MARK, text).strip() if "`" in text else text
+    slots = _slots_left(prose)
+    if slots:
         return 2
-    if _SLOTS.search(plain) or _BRACKET.search(plain) or any(m not in TAGS and f"</{m}>" not in plain for m in _ANGLE.findall(plain)):
-        return 2
-    words = re.findall(r"[^\W\d_]+", text)
+    words = re.findall(r"[^\W\d_]+", prose)
     if len(words) >= FILLER_WORDS:
         if sum(w in LATIN for w in words) >= FILLER_SHARE * len(words) or sum(w in KEYS for w in words) >= FILLER_SHARE * len(words):
             return 1
         if len(words) > 5 and len(set(words)) == 1:
             return 1
-    if _FILLER.match(text) or _NONE.match(text):
+    if _FILLER.match(prose) or _NONE.match(prose):
         return 1
-    if _GOES_HERE.search(text):
+    if _GOES_HERE.search(prose):
         return 2
-    bare = re.sub(r"<[^<>]*>", " ", text).strip() or text
+    bare = re.sub(r"<[^<>]*>", " ", prose).strip() or prose
     bare = _HEAD.sub("", bare) or bare
-    if _STATUS.search(text) or _STATUS.match(bare) or _JSON_ERROR.match(text) or _ERROR.match(bare) or _ERROR_ABROAD.match(bare):
+    if _STATUS.search(prose) or _STATUS.match(bare) or _JSON_ERROR.match(prose) or _ERROR.match(bare) or _ERROR_ABROAD.match(bare):
+        return 1
+    notice = _script_notice(prose)
+    if notice:
         return 1
-    if _SCRIPT.search(text):
-        return -1 if _ABOUT_SCRIPT.search(text) else 1
-    return 0
+    in_code = prose != text and _slots_left(text.replace("`", " ")) is not None
+    return -1 if slots is False or notice is False or in_code else 0
 
 
 def shingles(passage: str) -> np.ndarray:

@@ -109,3 +109,31 @@ def test_documents(spark):
     assert find_residue(spark.createDataFrame([], DOCS)).count() == 0
     clash = spark.createDataFrame([(1, "404 Not Found", "x", 3)], DOCS + ", passage string, label int")
     assert find_residue(clash).count() == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the record of {{customer_name}} was opened on {{date}}.", "in python we greet {{name}} with `print(x)`.", "before each call, the agent asks for <company>.", "the style guide of [your company] applies.", "the shell step of ${project name} ran.",
+        "designers of {{product}} met.", "the template fills `{{ question }}`, dear {{name}}.", "the company replaces {{product}} free of charge.", "todo: run `make` in python", "error 000: the record was not found", "please enable javascript to view the reports.",
+        "javascript is disabled, so the listed items are hidden.", "this page requires javascript because the tool draws in your browser.", "tests are listed once you enable javascript.",
+    ],
+)
+def test_wording_beside_residue_does_not_save_it(text):
+    assert trusted(text) > 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the template fills {{ question }} and {{ context }} before each call.", "the placeholder \"{{name}}\" is replaced later.", "write [your name] style slots in capitals.", "``{{ name }}`` is a slot.", "`config.yaml` not found.", "insert `{{ name }}` here.", "the placeholder [[your name]] is replaced later.",
+        "pages that require javascript were dropped.", "the ticket says that javascript is disabled there.",
+    ],
+)
+def test_residue_that_is_spoken_of_is_sound(text):
+    assert trusted(text) <= 0
+
+
+def test_documents_with_residue_beside_odd_wording(spark):
+    rows = [(1, "The record of {{customer_name}} was opened on {{date}}."), (2, "Please enable JavaScript to view the reports."), (3, "In Python the line `print(f\"{x}\")` prints it.")]
+    assert sorted(r["doc_id"] for r in find_residue(spark.createDataFrame(rows, DOCS)).collect()) == [1, 2]
