@@ -8,9 +8,13 @@ import xxhash
 BITS = 18
 
 
+#: Names that begin so have places of their own, from 1 << BITS on.
+MARK = "\0"
+
+
 def indices(names: list[str]) -> np.ndarray:
     """Distinct hashed places of the features named."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(x) & ((1 << BITS) - 1) for x in names], dtype=np.int64))
+    return np.unique(np.array([(xxhash.xxh64_intdigest(x) & ((1 << BITS) - 1)) + ((x[:1] == MARK) << BITS) for x in names], dtype=np.int64))
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -18,10 +22,14 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 class LinearModel:
-    """One logistic regression per label over the same binary features. A row of features must not be empty."""
+    """One logistic regression per label over the same binary features. A row of features must not be empty.
+
+    marked: the label that marked features speak about; no other is told by them.
+    """
 
-    def __init__(self, labels: int):
-        self.w = np.zeros((1 << BITS, labels), dtype=np.float32)
+    def __init__(self, labels: int, marked: int | None = None):
+        self.w = np.zeros((1 << (BITS + (marked is not None)), labels), dtype=np.float32)
+        self.others = [k for k in range(labels) if k != marked]
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, use: np.ndarray, seed: int, epochs: int = 4) -> None:
         """Adagrad with mini-batches; use: 0 where a row says nothing about a label, else 1."""
@@ -39,6 +47,8 @@ class LinearModel:
                 ids, inverse = np.unique(at, return_inverse=True)
                 g = np.zeros((len(ids), self.w.shape[1]), dtype=np.float32)
                 np.add.at(g, inverse, error[np.repeat(np.arange(len(batch)), sizes)])
+                if len(self.w) > 1 << BITS:
+                    g[np.ix_(ids >= 1 << BITS, self.others)] = 0
                 g = g / len(batch) + 1e-6 * self.w[ids]
                 g2[ids] += g * g
                 self.w[ids] -= 0.3 * g / np.sqrt(g2[ids])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.linear import LinearModel, indices
+from assaykit.llm.linear import BITS, MARK, LinearModel, indices
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 
@@ -33,6 +33,8 @@ BAG = 3
 #: Score from which a pair of the sample is left out of the fit, by defect.
 SUSPECT = {"empty": 0.3, "truncated": 0.7, "refusal": 0.1, "copy": 0.3, "language": 0.3}
 SEED = 7
+#: n-grams of so many first tokens are told from those of the middle and of the last sentence.
+HEAD = 14
 #: Share of defective pairs for which thresholds are calibrated.
 PREVALENCE = 0.03
 TOLERANCE = 0.01
@@ -88,6 +90,7 @@ _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠎​-‏ -‮⁠-⁯⠀ㅤ︀-
 _REPEAT = re.compile(
     r"\b(?:repeat|word for word|verbatim|echo|copy (?:this|the)|say exactly|write exactly|quote|recite|restate|reproduce this|wiederhol\w*|wörtlich|wortwörtlich|répét\w*|répèt\w*|mot pour mot|recopie\w*|repit\w*|repet\w*|palabra por palabra|copia)\b", re.I
 )
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=。)|\n+")
 _END = {".": ".", "!": "!", "?": "!", "。": ".", "！": "!", "？": "!", "．": ".", "…": "…", ",": ",", ";": ",", ":": ":", "-": "-", "–": "-", "—": "-", "(": "(", "[": "(", "{": "("}
 _CLOSERS = "\"'”’»)]}*_`"
 
@@ -191,10 +194,14 @@ def features(q: str | None, a: str, vocabulary: Vocabulary) -> list[str]:
         f.append(f"item={min(rest, 2)}")
         if rest == 0:
             f.append("bare item")
-    head = tokens[:14] if n > 1 else []
+    head = tokens[:HEAD] if n > 1 else []
     f += [f"h{k}:" + " ".join(head[:k]) for k in (1, 2, 3, 4) if head]
-    f += ["u:" + t for t in set(head)] + ["b:" + " ".join(p) for p in set(zip(head, head[1:], strict=False))]
-    f += ["t:" + " ".join(p) for p in set(zip(head, head[1:], head[2:], strict=False))]
+    # Every token is seen: those of the head, of the last sentence, and what lies between, where n-grams reach into the head.
+    last = [vocabulary.token(t) for t in _TOKEN.findall(_SENTENCE.split(text)[-1])] if len(tokens) > HEAD else []
+    # What a head tells of a cut, a copy or a language the rest does not: beyond it, n-grams speak about refusals alone.
+    for mark, part in (("", head), (MARK + "m", tokens[HEAD - 2 : len(tokens) - len(last)] if len(tokens) - len(last) > HEAD else []), (MARK + "l", last)):
+        f += [mark + "u:" + t for t in set(part)] + [mark + "b:" + " ".join(p) for p in set(zip(part, part[1:], strict=False))]
+        f += [mark + "t:" + " ".join(p) for p in set(zip(part, part[1:], part[2:], strict=False))]
     asked = plain_words(q) if q else []
     if asked:
         joined, needle = " ".join(words), " ".join(asked)
@@ -224,7 +231,7 @@ class Classifier(LinearModel):
     """One score per defect, with calibrated thresholds."""
 
     def __init__(self):
-        super().__init__(len(DEFECTS))
+        super().__init__(len(DEFECTS), DEFECTS.index("refusal"))
         self.thresholds = np.full(len(DEFECTS), 0.5)
 
     def calibrate(self, rows: list[np.ndarray], y: np.ndarray) -> None:
@@ -282,6 +289,19 @@ _AFTER = {
     "en": ("", "", " Is there anything else you would like to talk about?", " Please rephrase the request.", " Thank you for understanding.", " Feel free to ask me something else.", " I can talk about general topics instead."),
     "de": ("", " Kann ich sonst etwas für Sie tun?"), "fr": ("", " Puis-je vous aider pour autre chose ?"), "es": ("", " ¿Puedo ayudarle en otra cosa?"),
 }
+# What may stand before a refusal as well as before an answer, and apologies of answers.
+_PREAMBLES = {
+    "en": ("Thank you for your question about the {k} of {n}.", "Thanks for asking about {n}, I have read your message with care.", "You asked me about the {k} of {n} and what became of it.", "I see that you would like to know more about the {k} of {n}.",
+           "I have looked at the {k} and at what you wrote about it.", "This is a good question about {n}, and I understand why you ask it.", "I appreciate that you took the time to describe the {k} of {n} to me.", "Hello and thank you for your patience."),
+    "de": ("Vielen Dank für Ihre Frage zu {n}.", "Danke für die Nachricht, ich habe sie genau gelesen.", "Sie fragen nach {n} und was daraus geworden ist.", "Ich verstehe, dass Sie mehr über {n} wissen möchten."),
+    "fr": ("Merci pour votre question sur {n}.", "Merci pour votre message, je l'ai lu avec attention.", "Vous me demandez ce qui est arrivé à {n}.", "Je comprends que vous vouliez en savoir plus sur {n}."),
+    "es": ("Gracias por su pregunta sobre {n}.", "Gracias por su mensaje, lo he leído con atención.", "Usted pregunta por {n} y por lo que pasó con ello.", "Entiendo que quiera saber más sobre {n}."),
+}
+_APOLOGIES = {
+    "en": ("I'm sorry for the delay.", "Sorry about the earlier mix-up.", "I apologize for the confusion.", "Apologies for the wait, here is what I found.", "I am sorry that the last reply was wrong.", "I'm sorry to hear that."),
+    "de": ("Entschuldigung für die Verzögerung.", "Es tut mir leid, dass es so lange gedauert hat."),
+    "fr": ("Désolé pour le retard.", "Je suis désolé pour cette confusion."), "es": ("Lo siento por la demora.", "Lamento la confusión."),
+}
 _EMPTIES = ("", " ", "\n", "\t \n", "  ", "​", "-", "--", ".", "...", "…", "n/a", "N/A", "null", "None", "(empty)", "[]", "{}", '""', "''", "<br/>", "<p></p>", "&nbsp;", "```\n```", "TBD", "no answer given", "---", "?", "[none]", "<empty>", "* * *")
 
 
@@ -291,6 +311,13 @@ def _refusal(rng: random.Random, lang: str, name: str, kind: str) -> str:
     return (text + rng.choice(_AFTER.get(lang, ("",)))).replace("'", rng.choice("'''’"))
 
 
+def _before(rng: random.Random, lang: str, name: str, kind: str, sentences: list[str]) -> str:
+    """One or two sentences that neither answer nor refuse: preambles, or sound sentences of other pairs."""
+    forms = _PREAMBLES.get(lang, _PREAMBLES["en"])
+    chosen = [rng.choice(sentences) if sentences and rng.random() < 0.4 else rng.choice(forms).replace("{n}", name).replace("{k}", kind) for _ in range(rng.choice((1, 1, 2)))]
+    return " ".join(chosen) + " "
+
+
 def _truncated(rng: random.Random, a: str) -> str | None:
     text = a.strip()
     kind = rng.random()
@@ -340,20 +367,29 @@ def synthesize(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[str
     for _, a in pairs:
         by_language.setdefault(language(a), []).append(a)
     known = sorted(k for k in by_language if k)
+    whole = {k: [x.strip() for a in v for x in re.findall(r"[^.!?\n]{20,}[.!?](?=\s|\Z)", a)] for k, v in by_language.items()}
     out: list[tuple[str | None, str, int | None]] = []
     for q, a in pairs:
         if rng.random() < TRUNCATED_SHARE and (t := _truncated(rng, a)) is not None:
             out.append((q, t, DEFECTS.index("truncated")))
         if a.rstrip().endswith(".") and rng.random() < 0.6:
             ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", a)]
-            whole = a[: ends[0]] if ends and rng.random() < 0.7 else a  # the first sentence, or all
-            out.append((q, whole.rstrip()[:-1], None))
+            part = a[: ends[0]] if ends and rng.random() < 0.7 else a  # the first sentence, or all
+            out.append((q, part.rstrip()[:-1], None))
         if rng.random() < 0.1 and a.rstrip().endswith("."):
             # Unknown words are no evidence of a defect.
             out.append((q, re.sub(r"[a-z]{3,}", lambda m: "".join(rng.choice("bcdfghklmnprstvwaeiou") for _ in m.group()), a), None))
         lang = language(q) if q else "en"
         if rng.random() < 0.35:
             out.append((q, _refusal(rng, lang or "en", rng.choice(names), rng.choice(kinds)), DEFECTS.index("refusal")))
+        spoken = lang or language(a) or "en"
+        told = (spoken, rng.choice(names), rng.choice(kinds))
+        if rng.random() < 0.15:
+            out.append((q, _before(rng, *told, whole.get(spoken, [])) + _refusal(rng, *told), DEFECTS.index("refusal")))
+        if language(a) == spoken and rng.random() < 0.12:
+            # What an answer follows, or an apology beside one, is no refusal.
+            sorry = rng.choice(_APOLOGIES.get(spoken, _APOLOGIES["en"]))
+            out.append((q, rng.choice((_before(rng, *told, []) + a, f"{sorry} {a}", f"{_before(rng, *told, [])}{sorry} {a}", f"{a.rstrip()} {sorry}")), None))
         if rng.random() < 0.08:
             out.append((q, rng.choice(_EMPTIES), DEFECTS.index("empty")))
         if q and content(q) and len(q.split()) > 1 and not _REPEAT.search(q) and rng.random() < 0.35:
@@ -390,20 +426,22 @@ def fit(pairs: list[tuple[str | None, str]], seed: int = SEED) -> tuple[Vocabula
     never_closed = np.array([any(x in UNCLOSED for x in f) for f in named], dtype=bool)
     use[never_closed, DEFECTS.index("truncated")] = 0
 
-    def train(inside: np.ndarray, seed: int) -> Classifier:
+    def train(inside: np.ndarray, seed: int, whole: bool = True) -> Classifier:
         made = synthesize([pairs[i] for i in inside if use[i].min() > 0], seed)
         rows = [base[i] for i in inside] + [indices(features(q, a, vocabulary)) for q, a, _ in made]
         w = np.concatenate([use[inside], np.ones((len(made), len(DEFECTS)), dtype=np.float32)])
         model = Classifier()
-        model.fit(rows, _labels(len(inside), made), w, seed)
+        model.fit(rows if whole else [r[r < 1 << BITS] for r in rows], _labels(len(inside), made), w, seed)
         return model
 
-    for step in range(ROUNDS):
+    # What stands beside refusals of the sample would pass as sound: those that the head tells are left out before the rest is fitted on.
+    for step in range(ROUNDS + 1):
+        whole = step == ROUNDS
         scores = np.zeros((len(pairs), len(DEFECTS)))
         for k in range(FOLDS):
             out = np.flatnonzero(fold == k)
-            scores[out] = train(np.flatnonzero(fold != k), seed + 10 * step + k).scores([base[i] for i in out])
-        use = (scores < suspect).astype(np.float32)
+            scores[out] = train(np.flatnonzero(fold != k), seed + 10 * step + k, whole).scores([base[i] for i in out])
+        use = use * (scores < suspect) if whole else (scores < suspect).astype(np.float32)
         use[never_closed, DEFECTS.index("truncated")] = 0
     held = np.random.default_rng(seed).random(len(pairs)) < 0.2
     model = Classifier()
@@ -428,7 +466,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
 
     A null or blank response is empty whatever the prompt. A null prompt can neither be copied nor differ in
     language. Every copy of a repeated row counts. The sample is bounded by SAMPLE_PAIRS; all rows are judged.
-    An empty table gives an empty table. Texts of any length are judged whole.
+    An empty table gives an empty table. Texts of any length are judged whole: n-grams are those of all tokens.
     """
     spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(fit(_sample(pairs)))

@@ -96,3 +96,19 @@ def test_clashing_columns(spark):
 def test_fit_is_the_same_each_time():
     a, b = P.fit(corpus(300)), P.fit(list(reversed(corpus(300))))
     assert (a[1].w == b[1].w).all() and (a[1].thresholds == b[1].thresholds).all()
+
+
+def test_what_follows_the_first_tokens_counts(fitted):
+    q = "How many tickets did Korri keep?"
+    preamble = "Thank you for your question about the quarterly report of the northern office, which I read with care."
+    assert judge(fitted, (q, f"{preamble} I am not able to help with that."), (q, f"{preamble} Unfortunately, I must decline to answer this question. Thank you for understanding.")) == ["refusal"] * 2
+    assert judge(fitted, (q, f"{preamble} It kept 5 of the tickets over the weekend."), (q, f"{preamble} I'm sorry for the delay. It kept 5 of the tickets over the weekend.")) == [None] * 2
+
+
+def test_every_token_has_features(fitted):
+    words = [f"{w} {x}" for w in NOUNS for x in ("the", "of", "in", "was", "kept")]
+    text = "It kept 5 of the tickets over the weekend because " + " ".join(words) + ". Then " + " and ".join(words) + ". It was kept."
+    vocabulary = fitted[0]
+    tokens = [vocabulary.token(t) for t in P._TOKEN.findall(text)]
+    marks = {x.split(":", 1)[1] for x in P.features("q", text, vocabulary) if x.split(":", 1)[0].strip("\0") in ("u", "mu", "lu")}
+    assert marks == set(tokens)
