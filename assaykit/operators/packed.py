@@ -1,8 +1,8 @@
 """Splitting fields that hold several values, keeping their positions.
 
 Separators cut a field into atoms; quoted and bracketed spans stay whole. Commas, semicolons, bars,
-tabs and line breaks always separate. Blanks may or may not: for a field whose only separators are
-blanks, a lattice of all runs of up to MAX_RUN atoms and of the whole text is weighed with value
+tabs and line breaks always separate. Blanks may or may not: they do where every piece is a parameter or
+a name that no prose has. For other fields whose only separators are blanks, a lattice of all runs of up to MAX_RUN atoms and of the whole text is weighed with value
 frequencies of the column. The frequencies start from the fields that leave no choice and are refined
 by expectation-maximisation over the others; the Viterbi path then decides.
 """
@@ -36,6 +36,8 @@ _BREAKS = r",;|\t\r\n\v\f\x85\u2028\u2029"
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _NAME = re.compile(r"[^\W\d][\w.:/-]*\Z")
 _PARAMETER = re.compile(r"[^\W\d][\w.:-]*=")
+#: Names written as no word of prose is: with an underscore, a capital inside, or parts joined by a dot or colon.
+_IDENTIFIER = r"^(?:\w*[^\W_]_+[^\W_]\w*|[a-z]{2,}[A-Z]\w*|\w{2,}(?:[.:]\w{2,})+)$"
 _NAMES = {"tools_available": ("name", "tool_name"), "tool_calls": ("tool_name", "name"), "tool_call_results": ("result",)}
 
 #: Fields in which blanks may separate -> what a piece must look like for that.
@@ -150,9 +152,16 @@ def unit_of(value: str, field: str) -> str:
 _PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("atoms", T.ArrayType(T.StringType()))])
 
 
+def settled(values: list[str], atoms: list[str], field: str) -> tuple[list[str], list[str]]:
+    """(values, atoms) as of pieces_of; atoms that leave no choice are the values: parameters, and names that no prose has."""
+    if atoms and (field == "parameters_passed" or all(re.match(_IDENTIFIER, a) for a in atoms)):
+        return atoms, []
+    return values, atoms
+
+
 @F.pandas_udf(_PIECES)
 def _pieces(field: pd.Series, text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([pieces_of(t, f) for f, t in zip(field, text, strict=True)], columns=["pieces", "atoms"])
+    return pd.DataFrame([settled(*pieces_of(t, f), f) for f, t in zip(field, text, strict=True)], columns=["pieces", "atoms"])
 
 
 def _edges(atoms: list[str]) -> Iterator[tuple[int, int]]:
@@ -255,8 +264,8 @@ def explode_packed(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...
     choices = cut(open_.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"), F.any_value("p.atoms").alias("atoms")))
     unit = F.when(F.col("field") == "parameters_passed", F.substring_index("v", "=", 1)).otherwise(F.col("v"))
     certain = (
-        parts.where(F.col("field").isin(list(BLANK_FIELDS)) & (F.size("p.atoms") < 2))
-        .select("field", F.explode("p.pieces").alias("v"))
+        parts.where(F.col("field").isin(list(BLANK_FIELDS)))
+        .select("field", F.explode(F.when(F.size("p.atoms") < 2, F.col("p.pieces")).otherwise(F.filter("p.atoms", lambda a: a.rlike(_IDENTIFIER)))).alias("v"))
         .groupBy("field", unit.alias("unit"))
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )

@@ -85,3 +85,16 @@ def test_very_long_fields(spark):
     text = ", ".join(["x" * 50] * 20_000)
     got = exploded(spark, [(1, None, None, many, text)])
     assert len(got[1, "parameters_passed"]) == 20_000 and len(got[1, "tool_call_results"]) == 20_000
+
+
+def test_values_that_stand_only_beside_blanks(spark):
+    """Whatever the size of the table, and however often such a field comes."""
+    for n in (10, 1000):
+        rows = [(i, "mailer, profiler", None, "limit=1, path=x", None) for i in range(n)]
+        rows += [(5000 + i, "geo_coder webFetch", None, "retries=3 backoff=2", None) for i in range(50)]
+        rows += [(6000, "sql_runner summarizer", None, "a=1 b=2 c=3", None), (6001, "see the manual of this", None, "a=log line", None)]
+        got = exploded(spark, rows)
+        for i in (5000, 5049):
+            assert got[i, "tools_available"] == ["geo_coder", "webFetch"] and got[i, "parameters_passed"] == ["retries=3", "backoff=2"]
+        assert got[6000, "tools_available"] == ["sql_runner", "summarizer"] and got[6000, "parameters_passed"] == ["a=1", "b=2", "c=3"]
+        assert (6001, "tools_available") not in got and (6001, "parameters_passed") not in got
