@@ -2,9 +2,9 @@
 
 Documents are cut into passages, equal passages (case, digits and spacing aside) are one. Rules label
 those passages that can be trusted to be residue, or to be sound writing about such things. Passages
-near a residue passage are found through partitioned SimHash tables, verified by Hamming distance and
-by the similarity of their shingles, and the residue label spreads along verified links through the
-connected components. A document with a residue passage comes out.
+near a residue passage are found through the keys of their shingle prefix, verified by the similarity
+of their shingles, and the residue label spreads along verified links through the connected
+components. A document with a residue passage comes out.
 """
 
 from __future__ import annotations
@@ -271,8 +271,8 @@ def spread(labelled: DataFrame) -> DataFrame:
     Passages that only hold residue (label 2) are residue but do not pass the label on: what is like the rest
     of them is sound.
 
-    Links are between passages whose SimHashes differ in at most HAMMING bits or, which the tables can miss,
-    whose shingle prefixes meet; both are verified by the similarity of the shingles. Trusted sound
+    Links are between passages of shingle similarity SIMILARITY, whose shingle prefixes always meet. The SimHash
+    tables propose pairs too, but no link hangs on them or on the Hamming distance. Trusted sound
     passages neither receive nor pass on the label. Only passages next to a residue passage are compared,
     hop by hop, so the pairs among sound passages are never formed.
     """
