@@ -5,6 +5,9 @@ those passages that can be trusted to be residue, or to be sound writing about s
 near a residue passage are found through the keys of their shingle prefix, verified by the similarity
 of their shingles, and the residue label spreads along verified links through the connected
 components. A document with a residue passage comes out.
+
+The fixed phrases of hints, filler, script notices and error pages are English, German, French and
+Spanish; in other languages only slots and dummy Latin are told.
 """
 
 from __future__ import annotations
