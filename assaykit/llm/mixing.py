@@ -73,7 +73,7 @@ def text_features(text: str) -> list[str]:
     words = ["0" if w[0].isdigit() else w for w in words]
     f = ["bias", f"size={len(words).bit_length()}", f"lines={min(4, text.count(chr(10)))}"]
     f += ["w:" + w for w in set(words)] + ["p:" + " ".join(p) for p in set(zip(words, words[1:], strict=False))]
-    f += ["l:" + re.sub(r"\d+", "0", line.strip()[:8].lower()) for line in set(text.split("\n")[:50]) if line.strip()]
+    f += ["l:" + re.sub(r"\d+", "0", line.strip()[:8].lower()) for line in set(text.split("\n")) if line.strip()]
     return f
 
 

@@ -84,3 +84,8 @@ def test_too_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
         mix(spark.createDataFrame([(i, "x", f"s{i}") for i in range(4)], DOCS), spark.createDataFrame([("m", "s1", 1.0, None, 1.0)], TARGETS))
+
+
+def test_line_beginnings_of_the_whole_text_count():
+    text = "\n".join(["plain line"] * 60 + ["## heading"])
+    assert "l:## headi" in mixing.text_features(text)
