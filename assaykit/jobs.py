@@ -117,8 +117,9 @@ def run(spark: SparkSession, job: Job) -> dict:
     if job.output:
         summary.write.mode("overwrite").parquet(f"{job.output}/summary")
         out = Path(job.output)
-        (out / "report.html").write_text(sinks.report_html(summary, "Evaluation"))
-        (out / "report.md").write_text(sinks.report_markdown(summary))
+        failing = F.coalesce("mean", F.lit(0.0)) < job.fail_below
+        (out / "report.html").write_text(sinks.report_html(summary, "Evaluation", failing=failing))
+        (out / "report.md").write_text(sinks.report_markdown(summary, failing=failing))
         named = summary.select(F.concat_ws(" / ", "model", "dataset", "scorer").alias("name"), "mean")
         (out / "report.xml").write_text(sinks.report_junit(named, "name", "mean", job.fail_below))
         (out / "verdict.json").write_text(json.dumps(verdict))

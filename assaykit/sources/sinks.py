@@ -6,7 +6,7 @@ import html
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,26 +42,36 @@ def merge_results(samples: DataFrame, summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").parquet(f"{path}/summary")
 
 
-def report_html(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A table of the first `limit` rows, for reports of aggregates."""
-    got = rows.limit(limit).collect()
+def _first(rows: DataFrame, limit: int, failing: Column | None) -> tuple[list, int, int]:
+    """The first rows up to the limit, those that fail before others; how many rows and failing rows there are in all."""
+    bad = F.lit(False) if failing is None else failing
+    counts = rows.select(bad.alias("f")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("f").cast("long")), F.lit(0)).alias("k")).first()
+    ordered = rows if failing is None else rows.orderBy(F.desc(failing))
+    return ordered.limit(limit).collect(), counts["n"], counts["k"]
+
+
+def report_html(rows: DataFrame, title: str, limit: int = 1000, failing: Column | None = None) -> str:
+    """A table of the first `limit` rows, for reports of aggregates. Rows that fail come first; how many are left out is said."""
+    got, n, _ = _first(rows, limit, failing)
     cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
     head = "".join(cell("th", c) for c in rows.columns)
     body = "".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in got)
-    return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    left = f"<p>{n - len(got)} of {n} rows are left out.</p>" if n > len(got) else ""
+    return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{left}"
 
 
-def report_markdown(rows: DataFrame, limit: int = 1000) -> str:
-    got = rows.limit(limit).collect()
+def report_markdown(rows: DataFrame, limit: int = 1000, failing: Column | None = None) -> str:
+    got, n, _ = _first(rows, limit, failing)
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
-    return "\n".join([line(rows.columns), "|" + "---|" * len(rows.columns), *map(line, got)])
+    left = ["", f"{n - len(got)} of {n} rows are left out."] if n > len(got) else []
+    return "\n".join([line(rows.columns), "|" + "---|" * len(rows.columns), *map(line, got), *left])
 
 
 def report_junit(rows: DataFrame, name: str, score: str, fail_below: float, suite: str = "evaluation", limit: int = 10_000) -> str:
-    """JUnit XML with a case per row of a small result; scores below the limit fail."""
-    got = rows.select(name, score).limit(limit).collect()
-    failed = [r for r in got if (r[1] or 0.0) < fail_below]
+    """JUnit XML with a case per row of a small result; scores below the limit fail. Tests and failures are those of all rows."""
+    got, n, k = _first(rows.select(name, score), limit, F.coalesce(F.col(score), F.lit(0.0)) < fail_below)
     cases = "".join(
-        f"<testcase name={quoteattr(str(r[0]))}>" + (f"<failure message={quoteattr(f'score {r[1]} is below {fail_below}')}/>" if r in failed else "") + "</testcase>" for r in got
+        f"<testcase name={quoteattr(str(r[0]))}>" + (f"<failure message={quoteattr(f'score {r[1]} is below {fail_below}')}/>" if (r[1] or 0.0) < fail_below else "") + "</testcase>" for r in got
     )
-    return f'<?xml version="1.0"?><testsuite name={quoteattr(suite)} tests="{len(got)}" failures="{len(failed)}">{cases}</testsuite>'
+    left = f"<system-out>{n - len(got)} of {n} rows are left out.</system-out>" if n > len(got) else ""
+    return f'<?xml version="1.0"?><testsuite name={quoteattr(suite)} tests="{n}" failures="{k}">{cases}{left}</testsuite>'

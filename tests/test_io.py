@@ -78,6 +78,15 @@ def test_reports(spark):
     assert 'failures="2"' in sinks.report_junit(df, "name", "score", 0.5)
 
 
+def test_reports_count_what_they_leave_out(spark):
+    df = spark.createDataFrame([(f"c{i}", 0.9) for i in range(20)] + [("bad", 0.1), ("none", None)], "name string, score double").coalesce(1)
+    xml = sinks.report_junit(df, "name", "score", 0.5, limit=3)
+    assert 'tests="22" failures="2"' in xml and 'name="bad"' in xml and 'name="none"' in xml and "19 of 22 rows are left out" in xml
+    bad = F.coalesce("score", F.lit(0.0)) < 0.5
+    for text in (sinks.report_html(df, "t", 3, bad), sinks.report_markdown(df, 3, bad)):
+        assert "bad" in text and "19 of 22 rows are left out" in text
+
+
 def test_chunks(spark):
     assert [len(c) for c in sources.in_chunks(spark.range(10), 4)] == [4, 4, 2]
 
