@@ -1,12 +1,14 @@
 """Shredding nested records into flat entity tables through an adjacency table.
 
-Every record becomes rows (doc, node, parent, label, ordinal, kind, scalar). Object nodes are then
-joined with their scalar children, and the children are pivoted into the columns of an entity table:
-both in one aggregation by (doc, parent), whose partial step runs where the record was read, so that
-only one row per object is shuffled.
-
-Two builders make the adjacency: json_adjacency reads JSON text of any depth, typed_adjacency takes an
-array of structs and emits only the labels asked for, which Catalyst prunes down to the scan.
+Every record becomes nodes with parent, label, ordinal and scalar. The scalar children of an object node
+are kept beside it, as an array of (label, ordinal, scalar): they stand in the same record, so the join
+of object nodes with their scalar children and the pivot into the columns of an entity table are a
+projection of one row. Nothing is shuffled for it and no record needs a key; ids of records may be null
+or repeated.
+
+Two builders make the nodes: json_objects reads JSON text of any depth, typed_objects takes an array of
+structs and the labels asked for, which Catalyst prunes down to the scan. json_adjacency gives the same
+nodes as flat rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 from assaykit.functions import jsonstrict
 
 ADJACENCY = "doc bigint, root string, node int, parent int, label string, ordinal int, kind string, scalar string"
+OBJECTS = "root string, node int, parent int, label string, ordinal int, children array<struct<label: string, ordinal: int, scalar: string>>"
+
+#: Rows that are handed on at once, however many a batch of records makes.
+ROWS = 5_000
 
 #: Label under which a nested object's link to the entity around it is stored.
 ENCLOSING = "@enclosing"
@@ -101,32 +107,68 @@ def adjacency_of(value, id_key: str, root_key: str, holders: tuple[str, ...]):
             yield root if root is not None else weak, node, parent, label, ordinal, "scalar", _text(x)
 
 
-def json_adjacency(
-    df: DataFrame, doc_col: str, body_col: str, id_key: str = "span_id", root_key: str = "trace_id",
-    holders: tuple[str, ...] = ("attributes",), labels: tuple[str, ...] | None = None,
-) -> DataFrame:
-    """Adjacency rows of JSON text; text that is null, empty or not JSON gives none. labels: only scalars so labelled."""
+def _parse(body) -> object:
+    """The JSON value of a text; None if it is null, empty or not JSON."""
+    try:
+        return jsonstrict.loads(body) if isinstance(body, str) else None
+    except jsonstrict.Invalid:
+        return None
+
+
+def objects_of(value, id_key: str, root_key: str, holders: tuple[str, ...], labels: tuple[str, ...] | None):
+    """Yield (root, node, parent, label, ordinal, children) of every object: adjacency_of with scalar children beside their object.
+
+    labels: only children so labelled; None takes all.
+    """
+    current = None
+    for root, node, parent, label, ordinal, kind, scalar in adjacency_of(value, id_key, root_key, holders):
+        if kind == "object":
+            if current is not None:
+                yield current
+            current = (root, node, parent, label, ordinal, [])
+        elif kind == "scalar" and current is not None and parent == current[1] and (labels is None or label in labels):
+            current[5].append((label, ordinal, scalar))
+    if current is not None:
+        yield current
+
+
+def _in_parts(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    part = []
+    for r in rows:
+        part.append(r)
+        if len(part) == ROWS:
+            yield pd.DataFrame(part, columns=columns)
+            part = []
+    yield pd.DataFrame(part, columns=columns)
+
+
+def json_adjacency(df: DataFrame, doc_col: str, body_col: str, id_key: str = "span_id", root_key: str = "trace_id", holders: tuple[str, ...] = ("attributes",)) -> DataFrame:
+    """Flat adjacency rows (ADJACENCY) of JSON text; text that is null, empty or not JSON gives none."""
 
     def shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, body in zip(batch["doc"], batch["body"], strict=True):
-                try:
-                    value = jsonstrict.loads(body) if isinstance(body, str) else None
-                except jsonstrict.Invalid:
-                    value = None
-                if isinstance(value, (dict, list)):
-                    rows += [
-                        (doc, *r) for r in adjacency_of(value, id_key, root_key, holders)
-                        if labels is None or r[5] == "object" or r[3] in labels
-                    ]
-            yield pd.DataFrame(rows, columns=["doc", "root", "node", "parent", "label", "ordinal", "kind", "scalar"])
+            parsed = ((doc, _parse(body)) for doc, body in zip(batch["doc"], batch["body"], strict=True))
+            rows = ((doc, *r) for doc, x in parsed if isinstance(x, (dict, list)) for r in adjacency_of(x, id_key, root_key, holders))
+            yield from _in_parts(rows, ["doc", "root", "node", "parent", "label", "ordinal", "kind", "scalar"])
 
     return df.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{body_col}`").cast("string").alias("body")).mapInPandas(shred, ADJACENCY)
 
 
-def typed_adjacency(df: DataFrame, doc_col: str, root_col: str, array_col: str, scalars: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """Adjacency rows of an array of structs: for each element, which is an object node, a scalar child per label.
+def json_objects(
+    df: DataFrame, body_col: str, id_key: str = "span_id", root_key: str = "trace_id", holders: tuple[str, ...] = ("attributes",), labels: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Object nodes (OBJECTS) of JSON text; text that is null, empty or not JSON gives none. labels: only children so labelled."""
+
+    def shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = (r for x in map(_parse, batch["body"]) if isinstance(x, (dict, list)) for r in objects_of(x, id_key, root_key, holders, labels))
+            yield from _in_parts(rows, ["root", "node", "parent", "label", "ordinal", "children"])
+
+    return df.select(F.col(f"`{body_col}`").cast("string").alias("body")).mapInPandas(shred, OBJECTS)
+
+
+def typed_objects(df: DataFrame, root_col: str, array_col: str, scalars: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Object nodes (OBJECTS) of an array of structs: one for each element, with a scalar child per label.
 
     scalars: label -> (field, key in the field if it is a map). The record itself is node 0. Fields are taken
     out of the array before it is exploded, so that the scan reads no others. Null elements have null children.
@@ -137,21 +179,23 @@ def typed_adjacency(df: DataFrame, doc_col: str, root_col: str, array_col: str,
         return values if key is None else F.transform(values, lambda m: F.try_element_at(m, F.lit(key)))
 
     zipped = F.arrays_zip(*[column(field, key).alias(f"c{i}") for i, (field, key) in enumerate(scalars.values())])
-    elements = df.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{root_col}`").cast("string").alias("root"), F.posexplode(zipped).alias("ordinal", "e"))
-    children = ", ".join(f"'{label}', cast(e.c{i} as string)" for i, label in enumerate(scalars))
-    return elements.selectExpr(
-        "doc", "root", "ordinal", f"stack({len(scalars)}, {children}) as (label, scalar)"
-    ).selectExpr("doc", "root", "-1 as node", "ordinal + 1 as parent", "label", "ordinal", "'scalar' as kind", "scalar")
+    elements = df.select(F.col(f"`{root_col}`").cast("string").alias("root"), F.posexplode(zipped).alias("at", "e"))
+    child = [F.struct(F.lit(label).alias("label"), F.lit(i).alias("ordinal"), F.col(f"e.c{i}").cast("string").alias("scalar")) for i, label in enumerate(scalars)]
+    return elements.select(
+        "root", (F.col("at") + 1).alias("node"), F.lit(0).alias("parent"), F.lit(array_col).alias("label"), F.col("at").alias("ordinal"), F.array(*child).alias("children")
+    )
 
 
-def pivot_entities(adjacency: DataFrame, columns: dict[str, str], key: str) -> DataFrame:
-    """Join object nodes with their scalar children and pivot them: one row per object that has a `key` child.
+def pivot_entities(objects: DataFrame, columns: dict[str, str], key: str) -> DataFrame:
+    """Pivot object nodes with their scalar children: one row per object that has a `key` child.
 
     columns: output column -> label. Several children of one label give the greatest, nulls aside.
     """
-    wanted = adjacency.where((F.col("kind") == "scalar") & F.col("label").isin(list(columns.values())))
-    picks = [F.max(F.when(F.col("label") == label, F.col("scalar"))).alias(c) for c, label in columns.items()]
-    return wanted.groupBy("doc", "root", "parent").agg(*picks).where(F.col(key).isNotNull()).withColumnRenamed("parent", "node")
+
+    def pick(label: str) -> Column:
+        return F.array_max(F.transform(F.filter("children", lambda c: c["label"] == label), lambda c: c["scalar"]))
+
+    return objects.select("root", "node", *[pick(label).alias(c) for c, label in columns.items()]).where(F.col(key).isNotNull())
 
 
 def _no_id(c: Column) -> Column:
@@ -162,15 +206,12 @@ def _no_id(c: Column) -> Column:
 SPAN_LABELS = {"span_id": "span_id", "parent_span_id": "parent_span_id", "operation_type": "attributes.operation.type", "enclosing": ENCLOSING}
 
 
-def span_adjacency(traces: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Adjacency of the spans of both tables, with the labels that SPAN_LABELS pivots."""
-    typed = typed_adjacency(
-        traces, "delivery_id", "trace_id", "spans",
-        {"span_id": ("span_id", None), "parent_span_id": ("parent_span_id", None), "attributes.operation.type": ("attributes", "operation.type")},
-    )
-    # The two tables number their records separately; negative documents keep them apart.
-    text = json_adjacency(payloads, "payload_id", "body", labels=tuple(SPAN_LABELS.values())).withColumn("doc", -F.col("doc") - 1)
-    return typed.unionByName(text)
+def span_objects(traces: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Object nodes of the spans of both tables, with the labels that SPAN_LABELS pivots."""
+    typed = typed_objects(
+        traces, "trace_id", "spans", {"span_id": ("span_id", None), "parent_span_id": ("parent_span_id", None), "attributes.operation.type": ("attributes", "operation.type")}
+    )
+    return typed.unionByName(json_objects(payloads, "body", labels=tuple(SPAN_LABELS.values())))
 
 
 def span_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -178,10 +219,11 @@ def span_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
 
     The parent is the recorded one, else the span that encloses it; '' where there is none (null, blank,
     or zeros only). Where deliveries differ the greatest non-empty value holds, so the result does not
-    depend on order. A span without trace has trace_id ''; spans without id are no rows. Empty tables
-    give an empty table; other columns are ignored.
+    depend on order. A span without trace has trace_id ''; spans without id are no rows. Ids of deliveries
+    and payloads are not read, so they may be null or repeated. Empty tables give an empty table; other
+    columns are ignored.
     """
-    spans = pivot_entities(span_adjacency(traces, payloads), SPAN_LABELS, "span_id")
+    spans = pivot_entities(span_objects(traces, payloads), SPAN_LABELS, "span_id")
     parent = F.coalesce(_no_id(F.col("parent_span_id")), _no_id(F.col("enclosing")), F.lit(""))
     return (
         spans.select(F.coalesce("root", F.lit("")).alias("trace_id"), "span_id", parent.alias("p"), F.coalesce("operation_type", F.lit("")).alias("o"))
@@ -191,24 +233,24 @@ def span_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def attribute_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(trace_id, span_id, key, value): the attributes of every span, each once."""
-    typed = (
-        traces.select("trace_id", F.explode(F.arrays_zip(F.col("spans.span_id").alias("span_id"), F.col("spans.attributes").alias("attributes"))).alias("e"))
-        .where("e.span_id is not null")
-        .select(F.coalesce("trace_id", F.lit("")).alias("trace_id"), F.col("e.span_id").alias("span_id"), F.explode("e.attributes").alias("key", "value"))
-    )
-    nodes = json_adjacency(payloads, "payload_id", "body").where("kind = 'scalar'")
-    ids = nodes.where("label = 'span_id' and scalar is not null").select("doc", "parent", F.col("scalar").alias("span_id"))
-    text = (
-        nodes.where("startswith(label, 'attributes.')")
-        .join(ids, ["doc", "parent"])
-        .select(F.coalesce("root", F.lit("")).alias("trace_id"), "span_id", F.substring("label", 12, 1 << 30).alias("key"), F.col("scalar").alias("value"))
-    )
-    return typed.unionByName(text).distinct()
+    """(trace_id, span_id, key, value): the attributes of every span, each once; deliveries with another value give another row.
+
+    A span's attributes travel as one array, so trace and span id are shuffled once per span; equal
+    deliveries are dropped before the shuffle. Only the differing attribute sets of one span meet.
+    """
+    sets = (
+        traces.select(F.col("trace_id").cast("string").alias("root"), F.explode(F.arrays_zip(F.col("spans.span_id").alias("span_id"), F.col("spans.attributes").alias("attributes"))).alias("e"))
+        .select("root", "e.span_id", F.map_entries("e.attributes").alias("a"))
+    )
+    children = json_objects(payloads, "body")
+    own = F.transform(F.filter("children", lambda c: c["label"].startswith("attributes.")), lambda c: F.struct(F.substring(c["label"], 12, 1 << 30).alias("key"), c["scalar"].alias("value")))
+    text = children.select("root", F.array_max(F.transform(F.filter("children", lambda c: c["label"] == "span_id"), lambda c: c["scalar"])).alias("span_id"), own.alias("a"))
+    met = sets.unionByName(text).where("span_id is not null and size(a) > 0").groupBy(F.coalesce("root", F.lit("")).alias("trace_id"), "span_id").agg(F.collect_set("a").alias("a"))
+    return met.select("trace_id", "span_id", F.inline(F.array_distinct(F.flatten("a"))))
 
 
 def trace_table(traces: DataFrame, payloads: DataFrame) -> DataFrame:
     """(trace_id, project, environment, deliveries): one row per trace of both tables, the greatest spelling of each."""
-    text = pivot_entities(json_adjacency(payloads, "payload_id", "body"), {"trace_id": "trace_id", "project": "project", "environment": "environment", "span": "span_id"}, "trace_id")
+    text = pivot_entities(json_objects(payloads, "body", labels=("trace_id", "project", "environment", "span_id")), {"trace_id": "trace_id", "project": "project", "environment": "environment", "span": "span_id"}, "trace_id")
     both = traces.select("trace_id", "project", "environment").unionByName(text.where("span is null").select("trace_id", "project", "environment"))
     return both.where("trace_id is not null").groupBy("trace_id").agg(F.max("project").alias("project"), F.max("environment").alias("environment"), F.count(F.lit(1)).alias("deliveries"))

@@ -1,7 +1,7 @@
 import json
 
 from assaykit import schemas
-from assaykit.operators.shredding import adjacency_of, attribute_table, json_adjacency, pivot_entities, span_table, trace_table
+from assaykit.operators.shredding import adjacency_of, attribute_table, json_adjacency, json_objects, objects_of, pivot_entities, span_table, trace_table
 
 TRACES = "delivery_id long, trace_id string, project string, environment string, spans array<struct<span_id: string, trace_id: string, parent_span_id: string, name: string, attributes: map<string, string>>>"
 
@@ -73,9 +73,27 @@ def test_adjacency_round_trip(spark):
 
 
 def test_pivot_of_any_entity(spark):
-    adjacency = json_adjacency(payloads(spark, [{"id": "r", "items": [{"sku": "1", "n": 2}, {"n": 3}]}]), "payload_id", "body", id_key="sku", root_key="id")
-    out = pivot_entities(adjacency, {"sku": "sku", "n": "n"}, "sku").collect()
+    bodies = payloads(spark, [{"id": "r", "items": [{"sku": "1", "n": 2}, {"n": 3}]}])
+    out = pivot_entities(json_objects(bodies, "body", id_key="sku", root_key="id"), {"sku": "sku", "n": "n"}, "sku").collect()
     assert [(r["root"], r["sku"], r["n"]) for r in out] == [("r", "1", "2")]
+    flat = json_adjacency(bodies, "payload_id", "body", id_key="sku", root_key="id").collect()
+    assert sorted((r["label"], r["scalar"]) for r in flat if r["kind"] == "scalar") == [("id", "r"), ("n", "2"), ("n", "3"), ("sku", "1")]
+
+
+def test_children_stand_beside_their_object():
+    value = {"a": 1, "b": [{"c": "x", "d": [7, {"e": 2}]}, 5], "f": {"g": None}}
+    flat, beside = list(adjacency_of(value, "id", "root", ())), list(objects_of(value, "id", "root", (), None))
+    nodes = {r[1] for r in flat if r[5] == "object"}
+    assert [(o[1], *c) for o in beside for c in o[5]] == [(r[2], r[3], r[4], r[6]) for r in flat if r[5] == "scalar" and r[2] in nodes]
+
+
+def test_null_and_repeated_delivery_ids(spark):
+    """Eight different spans of two deliveries stay eight, whatever the ids of the deliveries."""
+    halves = [[span(f"a{i}") for i in range(4)], [span(f"b{i}") for i in range(4)]]
+    for ids in ((None, None), (1, 1), (1, 2)):
+        t = spark.createDataFrame([(d, "t", None, None, x) for d, x in zip(ids, halves, strict=True)], TRACES)
+        p = spark.createDataFrame([(None, json.dumps({"trace_id": "u", "spans": [{"span_id": f"c{i}{j}"} for j in range(4)]})) for i in range(2)], "payload_id long, body string")
+        assert {r["span_id"] for r in span_table(t, p).collect()} == {f"{x}{i}" for x in "ab" for i in range(4)} | {f"c{i}{j}" for i in range(2) for j in range(4)}
 
 
 def test_attributes_and_traces(spark):
