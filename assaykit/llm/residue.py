@@ -1,13 +1,15 @@
 """Documents with template residue, filler, error pages or script notices where content belongs.
 
-Documents are cut into passages, equal passages (case, digits and spacing aside) are one. Rules label
-those passages that can be trusted to be residue, or to be sound writing about such things. Passages
-near a residue passage are found through the keys of their shingle prefix, verified by the similarity
-of their shingles, and the residue label spreads along verified links through the connected
-components. A document with a residue passage comes out.
-
-The fixed phrases of hints, filler, script notices and error pages are English, German, French and
-Spanish; in other languages only slots and dummy Latin are told.
+Documents are cut into passages, equal passages (case, digits and spacing aside) are one. A trusted seed is
+labelled by form: slots, dummy text, status lines, error objects, and well-known notices. What a seed
+passage says without its status head or interjection is its core; the cores are the nodes. Nodes that are
+near-duplicates are found through partitioned SimHash tables, verified by Hamming distance and by the
+similarity of their shingles, and the residue label spreads along verified links through the connected
+components, to their end. A document with a passage of a residue component comes out.
+
+Slots, dummy Latin, repeated words, status lines and error objects are told in any language. The well-known
+notices that seed the search are English, German, French, Spanish, Italian, Portuguese, Dutch and Polish;
+fixed phrases of filler and scripts are English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import types as T
 from assaykit.session import cut, small_side
 
 SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
+#: Cores of fewer words say too little to link passages that differ.
+CORE_WORDS = 4
 #: A passage counts as filler from so many words on, if this share of them is filler.
 FILLER_WORDS, FILLER_SHARE = 4, 0.7
-#: More links than this many hops from a trusted passage end the spreading with an error rather than silently.
-MAX_HOPS = 50
 
 # Words of the customary dummy Latin, keyboard filler, names of HTML elements.
 LATIN = frozenset(
@@ -54,7 +56,11 @@ REASONS = (
     "service unavailable|gateway time-?out|proxy authentication required"
 )
 
+#: Blanks other than the plain one and line ends.
+_BLANKS = r"[\t\x0b\f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _FENCE = r"(?s)```.*?(?:```|\z)"
+#: Words that stand in brackets and capitals without being slots: levels, outcomes, marks of models and editors.
+_LEVELS = "INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|CRITICAL|NOTICE|DONE|FAIL|FAILED|PASS|PASSED|SKIP|SKIPPED|CLS|SEP|MASK|PAD|UNK|INST|EOS|BOS|SIC|NULL|EDIT|PDF|VIDEO"
 _DOLLARS = re.compile(r"(?<![\w$\\])\$[a-z]{2,20}(?:_[a-z]{2,20})*\$(?!\w)")
 _CODE = re.compile(r"`[^`]*`|\$[^$\s](?:[^$]*[\\^_{=+][^$]*)?\$(?!\w)|\\\w+\{[^}]*\}|[_^]\{[^}]*\}")
 _NAME = r"[^\W\d][\w.]*(?: [\w.]+){0,3}"
@@ -68,6 +74,7 @@ _SLOTS = re.compile(
     )
 )
 _ANGLE = re.compile(r"<([a-z][a-z0-9_-]{2,40})>")
+_SPACED_ANGLE = re.compile(r"<([a-z]{2,20})(?: [a-z]{2,20}){1,3}>")
 _HINT = (
     r"your \w+|insert|placeholder|fill in|to be (?:filled|added|completed|defined|done)|goes here|name of|enter |replace|tbd|tba|todo|fixme|xxx+|lorem|"
     r"insertar|por completar|rellenar|su nombre|nombre de|à compléter|à remplir|insérer|votre|platzhalter|einfügen|einsetzen|eintragen|add |ausfüllen|ihr name|name hier"
@@ -111,27 +118,26 @@ _STATUS = re.compile(
 )
 _HEAD = re.compile(r"\A\W*0{3}\s*[|:–—.-]\s*")
 _JSON_ERROR = re.compile(r'\A\{\s*"(?:status|error|code|message|detail|title|errors|type|success)"\s*:.*"(?:status|error|code|message|detail)"\s*:.*\}\W*\Z')
-_ERROR = re.compile(
-    r"\A\W*(?:(?:we(?: are|'re) (?:very )?sorry|sorry|whoops|oops|hm+|uh[- ]oh|oh no|attention|notice|warning|error|fehler|erreur|page error|server message)\b[ ,:!.|–-]*)?(?:but )?(?:"
-    r"access (?:is |was )?denied|you do(?: not|n't) have permission[\w ]*|permission denied|(?:the )?page (?:was |could )?not (?:be )?found|"
-    r"(?:the|this) (?:page|address|document|resource|file|report|site|service|link)(?: you (?:are looking for|asked for|opened|requested|want))? (?:has been|was|is|could|does|can)\b[\w ,']{0,20}\b(?:moved|deleted|removed|not (?:be )?(?:rendered|found|loaded|shown|here|available|exist)|temporarily|unavailable|gone)[\w ,]*|"
-    r"(?:an? )?(?:unexpected|internal|unknown) (?:condition|error|problem)(?: was met| (?:has )?occurred| happened)?|something (?:went wrong|broke|failed)(?: on our (?:side|end))?|(?:our|the) team has been (?:told|informed|notified)(?: about (?:the|this) (?:problem|error|issue))?|"
-    r"(?:your|the) (?:session|login|link|token)(?: has| is)? (?:has |is )?(?:expired|run out|timed out|ended)|(?:your|this|the) request (?:was|has been|is|could)\b[\w ]{0,20}(?:blocked|rejected|denied|not be [\w ]*|refused)|"
-    r"we (?:cannot|can't|could not|are unable to) (?:show|load|find|open|display|reach)[\w ]*|(?:could not|cannot|unable to|failed to) (?:connect to|reach|load|find|open)[\w ]{0,40}|"
-    r"you have (?:hit|reached|exceeded) [\w ]*limit[\w ,]*|your browser is (?:not|no longer) supported[\w ,]*|(?:this|the) content is not available[\w ]*|use a newer browser|"
-    r"(?:the )?(?:upstream )?(?:server|gateway|proxy) (?:sent|returned|did not|is|was|has)[\w ]{0,40}|too many requests|(?:no route to|connection (?:to|refused|reset|timed))[\w ]*|"
-    r"(?:this|the|our) (?:service|site|page|server|viewer)(?: is)?(?: currently| temporarily)? (?:unavailable|down|offline|under maintenance)[\w ]*"
-    r")\W*(?:(?:try again|please|reference|reload|use the|sign in|check|in a few)\b.{0,80})?\Z"
-)
-_ERROR_ABROAD = re.compile(
-    r"\A\W*(?:(?:fehler|erreur|error) (?:0{1,4}\W*)?(?:interne?r?o?\b.*)?|"
-    r"(?:die |diese )?(?:seite|datei|adresse|gewünschte \w+|angeforderte \w+)(?: wurde| ist| gibt es| konnte| existiert)?(?: leider)? nicht\b.{0,60}|(?:interner )?serverfehler.*|zugriff (?:wurde )?verweigert|"
-    r"(?:dieser |der )?dienst (?:ist )?(?:derzeit |zurzeit |vorübergehend )?nicht (?:verfügbar|erreichbar)|(?:ihre )?sitzung ist abgelaufen.*|zu viele anfragen.*|"
-    r"(?:la )?page (?:est )?(?:introuvable|non trouvée|demandée n.*)|erreur (?:interne )?du serveur|accès (?:refusé|interdit)|(?:votre |la )?session (?:a expiré|est expirée|expirée).*|"
-    r"(?:ce |le )?service (?:est )?(?:temporairement |momentanément )?indisponible.*|trop de requêtes.*|"
-    r"(?:la )?página (?:solicitada )?no (?:encontrada|existe|disponible|se encuentra).*|error (?:interno )?del servidor|acceso (?:denegado|prohibido)|(?:su |la )?sesión (?:ha )?(?:caducado|expirado|caducada|expirada).*|"
-    r"(?:el )?servicio no (?:está )?disponible.*|demasiadas solicitudes.*)\W*\Z"
+# Customary texts of error pages, by language.
+NOTICES = frozenset(
+    x.strip()
+    for x in """access denied|permission denied|you do not have permission to view this page|you do not have permission to access this page|you don't have permission to access this resource|
+    your session has expired|your session has timed out|page not found|this page could not be found|the page you are looking for has been moved or deleted|the page you requested could not be found|
+    the page you are looking for does not exist|something went wrong|something broke on our side|an error occurred|an error has occurred|an unexpected error occurred|an unexpected error has occurred|an internal error occurred|
+    internal server error|bad gateway|service unavailable|this service is temporarily unavailable|the service is temporarily unavailable|this site is temporarily unavailable|could not connect to the database|
+    error establishing a database connection|too many requests|you have hit the rate limit|this content is not available in your region|this content is not available in your country|your browser is not supported|
+    this site is down for maintenance|this site is under maintenance|the requested url was not found on this server|the requested resource was not found|
+    seite nicht gefunden|die seite wurde nicht gefunden|zugriff verweigert|interner serverfehler|ihre sitzung ist abgelaufen|dieser dienst ist derzeit nicht verfügbar|zu viele anfragen|wartungsarbeiten|
+    page introuvable|page non trouvée|erreur interne du serveur|accès refusé|accès interdit|votre session a expiré|service temporairement indisponible|trop de requêtes|site en maintenance|
+    página no encontrada|error interno del servidor|acceso denegado|su sesión ha caducado|su sesión ha expirado|servicio no disponible|demasiadas solicitudes|
+    pagina non trovata|errore interno del server|accesso negato|la sessione è scaduta|servizio non disponibile|
+    página não encontrada|erro interno do servidor|acesso negado|a sua sessão expirou|serviço indisponível|
+    pagina niet gevonden|toegang geweigerd|interne serverfout|uw sessie is verlopen|
+    nie znaleziono strony|strona nie została znaleziona|dostęp zabroniony|wewnętrzny błąd serwera""".split("|")
 )
+#: What may follow such a text in the same sentence: a mark, or a word that gives the cause or asks for something.
+_AFTER_NOTICE = re.compile(r"\W*\Z|\s*[.,;:!(|–—-]|\s+(?:because|or|due|please|for|on|in|while|until|wegen|weil|bitte|à cause|en raison|veuillez|debido|por)\b")
+_TRACE = re.compile(r"\A\W*(?:traceback \(most recent call last\):|exception in thread \"|fatal error: uncaught )")
 _TICKED = re.compile(r"(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)")
 #: Stands for inline code: neither a word nor a mark that rules skip.
 _CODE_MARK = " 0§0 "
@@ -149,6 +155,7 @@ def _slots_left(prose: str) -> bool | None:
     plain = _CODE.sub(" ", prose)
     found = [m for pattern in (_SLOTS, _BRACKET) for m in pattern.finditer(plain)]
     found += [m for m in _ANGLE.finditer(plain) if m[1] not in TAGS and f"</{m[1]}>" not in plain]
+    found += [m for m in _SPACED_ANGLE.finditer(plain) if m[1] not in TAGS]
     dollars = list(_DOLLARS.finditer(prose))
     for text, slots in ((plain, sorted(found, key=lambda m: (m.start(), -m.end()))), (prose, dollars)):
         end = -100
@@ -173,6 +180,19 @@ def _script_notice(prose: str) -> bool | None:
     return notice
 
 
+def _customary(text: str) -> bool:
+    """Does the passage, or what is left of it without an interjection, begin with one of NOTICES and say no more than its cause?"""
+    for part in {text, _message(text)}:
+        message = part.strip(" .!?,;:|–—-\"'()")
+        words = message.split(" ")
+        for n in range(min(len(words), 13), 0, -1):
+            if (start := " ".join(words[:n]).rstrip(".,;:!?()|–—-")) in NOTICES:
+                if len(words) <= n + 12 and _AFTER_NOTICE.match(message[len(start) :]):
+                    return True
+                break
+    return False
+
+
 def trusted(passage: str) -> int:
     """1: residue as a whole, 2: holds residue beside other words, -1: sound writing about such things, 0: neither is sure.
 
@@ -197,7 +217,7 @@ def trusted(passage: str) -> int:
         return 2
     bare = re.sub(r"<[^<>]*>", " ", prose).strip() or prose
     bare = _HEAD.sub("", bare) or bare
-    if _STATUS.search(prose) or _STATUS.match(bare) or _JSON_ERROR.match(prose) or _ERROR.match(bare) or _ERROR_ABROAD.match(bare):
+    if _STATUS.search(prose) or _STATUS.match(bare) or _JSON_ERROR.match(prose) or _TRACE.match(prose) or _customary(bare):
         return 1
     notice = _script_notice(prose)
     if notice:
@@ -206,41 +226,115 @@ def trusted(passage: str) -> int:
     return -1 if slots is False or notice is False or in_code else 0
 
 
-def shingles(passage: str) -> np.ndarray:
-    """Distinct hashes of the runs of SHINGLE words (of all words, if there are fewer)."""
-    words = re.findall(r"\w+", passage)
-    runs = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    return np.array(sorted(xxhash.xxh64_intdigest(r) for r in runs), dtype=np.uint64)
+# What stands before the message of a passage: a status with its reason, or up to three words set off by a mark.
+_CORE_HEAD = re.compile(
+    rf"\A(?:\W*(?:<[^<>]*>\s*)*(?:(?:http|error|err|fehler|erreur|code|status)[ /:#-]*)?\b0{{1,4}}\b\s*(?:{REASONS})?\s*(?:[|:.–—-]\s*|\Z)|"
+    r"\W*[^\W\d_]+(?: [^\W\d_]+){0,2}\s?(?:[:!|–—]|,|-(?=\s))\s*)"
+)
+_WORD = re.compile(r"\w+")
+
+
+def _message(passage: str) -> str:
+    """A passage without its status head or interjection, if at least two words are left."""
+    m = _CORE_HEAD.match(passage)
+    return passage[m.end() :] if m and " " in passage[m.end() :].strip() else passage
+
+
+def core(passage: str) -> str:
+    """The words of its message, one blank apart."""
+    return " ".join(_WORD.findall(_message(passage)))
+
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([pow(int(_P), k, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
+
 
+def shingle_hashes(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs of SHINGLE words of all cores, where each core's begin). A core of fewer words is one run."""
+    flat = " ".join(cores).split(" ")
+    codes, known = pd.factorize(np.array(flat, dtype=object))
+    h = np.array([xxhash.xxh64_intdigest(w) for w in known], dtype=np.uint64)[codes]
+    n = np.array([c.count(" ") + 1 for c in cores])
+    first = np.cumsum(n) - n
+    runs = np.maximum(n - SHINGLE + 1, 1)
+    starts = np.cumsum(runs) - runs
+    at = np.repeat(first - starts, runs) + np.arange(runs.sum())
+    left = np.repeat(np.minimum(n, SHINGLE), runs)
+    padded = np.append(h, np.zeros(SHINGLE, np.uint64))
+    total = np.zeros(len(at), dtype=np.uint64)
+    for k in range(SHINGLE):
+        total += np.where(k < left, padded[at + k] * _POWERS[k], np.uint64(0))
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29)), starts
 
-_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
+def simhashes(cores: list[str]) -> np.ndarray:
+    """One 64-bit SimHash per core, as signed integers: each bit is the majority of its shingles' bits."""
+    hashes, starts = shingle_hashes(cores)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    runs = np.diff(np.append(starts, len(hashes)))
+    return np.packbits(votes * 2 > runs[:, None], axis=1).view(np.int64).reshape(-1)
 
-def simhash(hashes: np.ndarray) -> int:
-    votes = ((hashes[:, None] & _BIT) != 0).sum(axis=0) * 2 > len(hashes)
-    return int(np.bitwise_or.reduce(np.where(votes, _BIT, np.uint64(0))).astype(np.int64))
 
+def similar(a: str, b: str) -> bool:
+    """Do two cores share SIMILARITY of their shingles?"""
+    if a == b:
+        return True
+    hashes, starts = shingle_hashes([a, b])
+    x, y = set(hashes[: starts[1]].tolist()), set(hashes[starts[1] :].tolist())
+    return len(x & y) >= SIMILARITY * len(x | y)
 
-@F.pandas_udf(T.ByteType())
-def _trusted(passage: pd.Series) -> pd.Series:
-    return passage.map(trusted).astype("int8")
 
+_JUDGED = T.StructType([T.StructField("label", T.ByteType()), T.StructField("node", T.LongType()), T.StructField("sim", T.LongType())])
 
-_PRINT = T.StructType([T.StructField("sim", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
+@F.pandas_udf(_JUDGED)
+def _judged(passage: pd.Series, sign: pd.Series) -> pd.DataFrame:
+    """Label, node and SimHash: the node is the hash of the core, null if that has fewer than CORE_WORDS words."""
+    labels = [trusted(p) if s else 0 for p, s in zip(passage, sign, strict=True)]
+    cores = [core(p) for p in passage]
+    nodes = pd.Series([xxhash.xxh64_intdigest(c) if c.count(" ") >= CORE_WORDS - 1 else None for c in cores], dtype="UInt64")
+    sims = simhashes(cores) if cores else np.zeros(0, np.int64)
+    signed = pd.Series(nodes.fillna(0).to_numpy(dtype=np.uint64).view(np.int64), dtype="Int64").mask(nodes.isna())
+    return pd.DataFrame({"label": np.array(labels, dtype=np.int8), "node": signed, "sim": sims})
 
-@F.pandas_udf(_PRINT)
-def _print(passage: pd.Series) -> pd.DataFrame:
-    sets = [shingles(p) for p in passage]
-    return pd.DataFrame({"sim": [simhash(s) for s in sets], "shingles": [s.astype(np.int64).tolist() for s in sets]})
+
+@F.pandas_udf(T.BooleanType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similar(core(x), core(y)) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+
+# What every passage has on which a rule of trusted() can hold; those without are not handed to the rules. Fillers begin so.
+_SIGNS = (
+    r"[\[{<$@#%`\\&]|\([^()]*[a-z]|__|\.{8}|\b(\w+)(?:\W+\1\b){2}|\A\W*(?:http|err|fehler|code|status|0)|"
+    r"\A\W*(?:(?:this is |a |some |just |more )*(?:sample|placeholder|dummy|filler|example|text|content|copy|description)|here will|your|my|add|put|insert|enter|type|write|texte?|este es|esto es|contenido|"
+    r"dies ist|das ist|hier|ceci est|to be|coming|under|todo|fixme|tb[da]|xx|n/?a|subheading|heading|subtitle|title|caption|item)\b|\A\W*xx"
+)
+_SIGN_WORDS = (
+    "script|javascript|noscript|skript|cookies|browser|human|robot|checking|verify|traceback (|exception in thread|fatal error|todo|fixme|xxx|n/a|undefined|null|nan|none|nil|true|false|"
+    "goes here|go here|comes here|belongs here|blindtext|platzhalter|fülltext|mustertext|beispieltext|foo bar|bar baz|bla bla|zzz zzz"
+).split("|")
+
+
+def _signs() -> str:
+    """One pattern of the signs, the words above, dummy words, status reasons and the beginnings of NOTICES. Words are grouped by their first letter."""
+    reasons = [r.replace("time-?out", "time") for r in REASONS.split("|")]
+    words = {*_SIGN_WORDS, *(w for w in LATIN | KEYS if len(w) > 3), *(" ".join(n.split()[:3]) for n in NOTICES), *reasons}
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words):
+        if not any(w != v and w.startswith(v) for v in words):
+            groups.setdefault(w[0], []).append(re.escape(w[1:]))
+    return _SIGNS + r"|\b(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items()) + ")"
 
 
 def passages(text: Column) -> Column:
-    """Lines and sentences, lower-cased, digits as 0, blanks collapsed; code blocks are left out."""
+    """Lines and sentences, lower-cased, digits as 0, blanks collapsed; code blocks are left out. Slots in capitals get double brackets."""
     plain = F.regexp_replace(F.regexp_replace(text, _FENCE, "\n"), r"[­​-‍﻿]", "")
-    parts = F.split(plain, r"\s*[\r\n]+\s*|(?<=[.!?])\s+")
-    norm = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.lower(p), r"\d", "0"), r"[\s\p{Z}]+", " ")))
-    return F.filter(norm, lambda p: p != "")
+    plain = F.regexp_replace(plain, rf"(?<![\[`])\[(?!(?:{_LEVELS})\])(\p{{Lu}}[\p{{Lu}}_ ]{{2,40}})\](?![\](`])", "[[$1]]")
+    norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(plain), "[1-9]", "0"), _BLANKS, " "), " {2,}", " ")
+    return F.filter(F.transform(F.split(norm, r"[\r\n]+|(?<=[.!?]) "), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def blocks_for(n: int) -> int:
@@ -262,59 +356,53 @@ def table_keys(sim: Column, m: int) -> Column:
     return F.array(*keys)
 
 
-def _prefix(shingles_: Column) -> Column:
-    """Shingles of which two sets of similarity SIMILARITY share at least one: the first of each in hash order."""
-    n = F.size(shingles_)
-    return F.slice(F.sort_array(shingles_), 1, (n - F.ceil(n * SIMILARITY) + 1).cast("int"))
+def spread(judged: DataFrame) -> DataFrame:
+    """(id) of the passages that are residue, by spreading label 1 through the components of near-duplicates.
 
+    judged: (id, passage, label, node, sim), a row per passage. Passages that only hold residue (label 2) are
+    residue but do not pass the label on: what is like the rest of them is sound. Passages of label -1 neither
+    receive nor pass it, nor do those without a node.
 
-def spread(labelled: DataFrame) -> DataFrame:
-    """Spread label 1 along verified near-duplicate links. labelled: (passage, label); returns the residue passages.
-
-    Passages that only hold residue (label 2) are residue but do not pass the label on: what is like the rest
-    of them is sound.
-
-    Links are between passages of shingle similarity SIMILARITY, whose shingle prefixes always meet. The SimHash
-    tables propose pairs too, but no link hangs on them or on the Hamming distance. Trusted sound
-    passages neither receive nor pass on the label. Only passages next to a residue passage are compared,
-    hop by hop, so the pairs among sound passages are never formed.
+    A node is a distinct core. A node with a trusted passage is residue, and so is every passage of a residue
+    node. Nodes within HAMMING bits share a key of the SimHash tables; such pairs are verified by that distance in
+    the join and then by the similarity of their shingles. Only nodes next to a residue node are compared, hop by
+    hop until no node is reached, so pairs among sound ones are never formed; equal cores are one node.
     """
-    prints = cut(labelled.where("label >= 0").withColumn("p", _print("passage")).select("passage", "label", F.xxhash64("passage").alias("id"), "p.sim", "p.shingles"))
-    m = blocks_for(prints.count())
-    long_enough = prints.where("size(shingles) > 1")
-    keys = F.concat(
-        F.transform(table_keys(F.col("sim"), m), lambda k: F.xxhash64(k["table"], k["bits"])),
-        F.transform(_prefix(F.col("shingles")), lambda s: F.xxhash64(F.lit(-1), s)),
-    )
-    residue = prints.where("label > 0").select("passage")
-    frontier, reached = cut(long_enough.where("label = 1").select("id", "sim", "shingles", keys.alias("keys"))), None
-    for _ in range(MAX_HOPS):
-        f = frontier.select(F.col("id").alias("fid"), F.explode("keys").alias("key"))
-        r = long_enough.where("label = 0").select("id", F.explode(keys).alias("key"))
-        candidates = cut(r.join(small_side(f), "key").select("id", "fid").distinct())
-        left = long_enough.select("id", "passage", "sim", "shingles")
-        right = frontier.select(F.col("id").alias("fid"), F.col("sim").alias("fsim"), F.col("shingles").alias("fshingles"))
-        both = F.size(F.array_intersect("shingles", "fshingles"))
-        union = F.size("shingles") + F.size("fshingles") - both
-        near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("fsim"))) <= HAMMING) | (both >= SIMILARITY * union)
-        met = left.join(small_side(candidates), "id").join(small_side(right), "fid").where(near & (both >= SIMILARITY * union))
-        met = met.select("id", "passage", "sim", "shingles").dropDuplicates(["id"])
-        if reached is not None:
-            met = met.join(reached.select("id"), "id", "left_anti")
-        frontier = cut(met.select("id", "passage", "sim", "shingles", keys.alias("keys")))
-        if frontier.isEmpty():
+    linked = judged.where("label in (0, 1) and node is not null")
+    m = blocks_for(linked.count())
+    keys = F.explode(F.transform(table_keys(F.col("sim"), m), lambda k: F.xxhash64(k["table"], k["bits"]))).alias("key")
+    seeds = linked.where("label = 1").groupBy("node").agg(F.min("passage").alias("passage"), F.first("sim").alias("sim"))
+    frontier = cut(seeds)
+    reached = cut(frontier.select("node"))
+    while True:
+        f = frontier.select(F.col("node").alias("fnode"), F.col("sim").alias("fsim"), keys)
+        near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("fsim"))) <= HAMMING) & (F.col("node") != F.col("fnode"))
+        open_ = linked.where("label = 0").select("node", "sim", keys)
+        pairs = cut(open_.join(small_side(f), "key").where(near).select("node", "fnode").distinct())
+        met = None
+        if not pairs.isEmpty():
+            texts = linked.where("label = 0").join(small_side(cut(pairs.select("node").distinct())), "node", "left_semi").groupBy("node").agg(F.min("passage").alias("passage"), F.first("sim").alias("sim"))
+            both = pairs.join(texts, "node").join(small_side(frontier.select(F.col("node").alias("fnode"), F.col("passage").alias("fpassage"))), "fnode")
+            met = cut(both.where(_similar("passage", "fpassage")).groupBy("node").agg(F.first("passage").alias("passage"), F.first("sim").alias("sim")).join(reached, "node", "left_anti"))
+        if met is None or met.isEmpty():
             break
-        reached = frontier if reached is None else reached.unionByName(frontier)
-    else:
-        raise RuntimeError(f"labels still spread after {MAX_HOPS} hops")
-    return residue if reached is None else residue.unionByName(reached.select("passage"))
+        frontier, reached = met, cut(reached.unionByName(met.select("node")))
+    held = judged.where("label > 0").select("id")
+    return held.unionByName(linked.where("label = 0").join(small_side(reached), "node", "left_semi").select("id"))
+
+
+def judge_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(id, passage, label, node, sim) of the distinct passages: the label is trusted()'s, 0 without asking for what shows no sign."""
+    each = docs.select(F.explode(passages(F.col(f"`{text_col}`").cast("string"))).alias("passage")).distinct()
+    return each.select(F.xxhash64("passage").alias("id"), "passage", _judged("passage", F.col("passage").rlike(_signs())).alias("j")).select("id", "passage", "j.*")
 
 
 def find_residue(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_col): documents that hold residue. Null and empty texts hold none; repeated documents come out each
-    time only if their ids differ; an empty table gives an empty table; other columns are ignored."""
-    long = docs.select(F.col(f"`{doc_col}`").alias("doc"), F.explode(passages(F.col(f"`{text_col}`").cast("string"))).alias("passage"))
-    labelled = cut(long.select("passage").distinct().withColumn("label", _trusted("passage")))
-    residue = spread(labelled)
+    time only if their ids differ; an empty table gives an empty table; other columns are ignored. Passages are
+    told apart by a 64-bit hash of their text."""
+    residue = cut(spread(cut(judge_passages(docs, text_col))))
     # A passage may be in any number of documents: the list of residue passages is distinct, the documents are not gathered by it.
-    return long.join(small_side(residue), "passage", "left_semi").select(F.col("doc").alias(doc_col)).distinct()
+    ids = F.array_distinct(F.transform(passages(F.col(f"`{text_col}`").cast("string")), lambda p: F.xxhash64(p)))
+    long = docs.select(F.col(f"`{doc_col}`").alias("doc"), F.explode(ids).alias("id"))
+    return long.join(small_side(residue), "id", "left_semi").select(F.col("doc").alias(doc_col)).distinct()

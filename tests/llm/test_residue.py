@@ -3,7 +3,7 @@ import random
 import pytest
 
 from assaykit.llm import residue
-from assaykit.llm.residue import HAMMING, blocks_for, find_residue, shingles, simhash, spread, trusted
+from assaykit.llm.residue import HAMMING, SHINGLE, blocks_for, core, find_residue, similar, simhashes, spread, trusted
 
 DOCS = "doc_id long, text string"
 
@@ -15,7 +15,7 @@ DOCS = "doc_id long, text string"
         "%(user_name)s looks wrong", "[your name]", "(company name goes here)", "(insertar nombre aquí)", "[nom du produit à compléter]", "xxxx to be filled in xxxx", "todo: write this section", "title goes here", "your text here",
         "lorem ipsum dolor sit amet magna", "blah blah blah blah blah blah blah", "undefined undefined [object object] nan", "sample paragraph, replace later.", "dies ist ein blindtext.", "texte provisoire.",
         "000 not found", "000 - page not found.", "http 000: this resource was removed.", "<html><head><title>000 bad gateway</title></head></html>", '{"status": "error", "detail": "gone", "code": 000}', "your session has expired.",
-        "access denied.", "something broke on our side, please try again in a few minutes.", "our team has been told about the problem.", "<html><head><title>error 0000</title></head></html>", "seite nicht gefunden.", "erreur interne du serveur.", "página no encontrada.", "javascript is disabled in your browser; turn it on and reload.", "this site requires scripts.",
+        "access denied.", "something broke on our side, please try again in a few minutes.", "<html><head><title>error 0000</title></head></html>", "seite nicht gefunden.", "erreur interne du serveur.", "página no encontrada.", "javascript is disabled in your browser; turn it on and reload.", "this site requires scripts.",
         "veuillez activer javascript pour afficher cette page.", "checking your browser before you continue.", "the viewer works only with scripting allowed.",
     ],
 )
@@ -55,51 +55,121 @@ def test_tables_find_every_pair_within_the_distance(spark):
     assert [blocks_for(n) for n in (10, 1 << 21, 1 << 28)] == [4, 5, 5] or blocks_for(10) == 4
 
 
+def judged(spark, rows):
+    """What judge_passages gives, with labels of the test's own."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "passage string, label byte")
+    return df.select(F.xxhash64("passage").alias("id"), "passage", "label", residue._judged("passage", F.lit(False)).alias("j")).select("id", "passage", "label", "j.node", "j.sim")
+
+
+def reached(spark, rows):
+    from pyspark.sql import functions as F
+
+    got = judged(spark, rows).join(spread(judged(spark, rows)), "id", "left_semi")
+    return {r["passage"] for r in got.select(F.col("passage")).collect()}
+
+
+def shingles(text):
+    words = core(text).split()
+    return {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def distance(a, b):
+    x, y = simhashes([core(a), core(b)]).tolist()
+    return bin((x ^ y) & (2**64 - 1)).count("1")
+
+
 def test_simhash_of_like_texts_is_near():
     words = [f"w{i}" for i in range(60)]
-    a = simhash(shingles(" ".join(words)))
-    b = simhash(shingles(" ".join([*words[:59], "other"])))
-    c = simhash(shingles(" ".join(f"v{i}" for i in range(60))))
-    near = bin((a ^ b) & (2**64 - 1)).count("1")
-    assert near < bin((a ^ c) & (2**64 - 1)).count("1")
+    assert distance(" ".join(words), " ".join([*words[:59], "other"])) < distance(" ".join(words), " ".join(f"v{i}" for i in range(60)))
+
+
+def test_simhashes_do_not_depend_on_the_batch():
+    texts = [core(x) for x in ("one", "two words", "a b c d", "a b c d e", "a b c d e f g h", "é ü 0 x y z")]
+    assert simhashes(texts).tolist() == [simhashes([t]).tolist()[0] for t in texts]
+
+
+def test_similarity_is_that_of_shingles():
+    rng = random.Random(3)
+    for _ in range(60):
+        a = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 50))]
+        b = a[:]
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randrange(len(b))] = "x"
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        assert similar(core(" ".join(a)), core(" ".join(b))) == (len(x & y) >= 0.8 * len(x | y))
 
 
 def test_labels_spread_along_links_only(spark):
     base = [f"word{i}" for i in range(40)]
-    one, two, three = base[:], base[:], base[:]
-    one[39] = "end1"
-    two[39], two[38] = "end1", "end2"
-    three[:20] = [f"far{i}" for i in range(20)]
-    rows = [(" ".join(base), 1), (" ".join(one), 0), (" ".join(two), 0), (" ".join(three), 0), ("short one", 0), ("short one too", 1)]
-    sound = base[:]
-    sound[0] = "begin"
-    rows.append((" ".join(sound), -1))
-    got = {r["passage"] for r in spread(spark.createDataFrame(rows, "passage string, label int")).collect()}
-    assert got == {" ".join(base), " ".join(one), " ".join(two), "short one too"}
+    far = [f"far{i}" for i in range(20)] + base[20:]
+    sound = "sound " + " ".join(base)
+    rows = [(" ".join(base), 1), ("oh no: " + " ".join(base), 0), (" ".join(base) + "!", 0), (" ".join(far), 0), ("short one", 0), ("short one too", 1), ("hm, short one too", 0), ("this resource was removed", 1), ("sorry, this resource was removed.", 0)]
+    got = reached(spark, [*rows, (sound, -1)])
+    assert got == {" ".join(base), "oh no: " + " ".join(base), " ".join(base) + "!", "short one too", "this resource was removed", "sorry, this resource was removed."}
 
 
 def test_propagation_equals_brute_force(spark):
-    """All links of similarity 0.8 on random near-copies, against comparing all pairs."""
+    """All links of a random set of near-copies, within the Hamming distance and of the similarity, against comparing all pairs."""
     rng = random.Random(6)
     texts = []
-    for g in range(12):
-        base = [f"g{g}w{i}" for i in range(30)]
-        for _ in range(6):
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(8):
             t = base[:]
             for _ in range(rng.randint(0, 2)):
-                t[rng.choice([0, 1, 28, 29, 15])] = f"z{rng.randint(0, 99)}"
+                t[rng.choice([0, 1, 148, 149])] = f"z{rng.randint(0, 99)}"
             texts.append(" ".join(t))
     texts = sorted(set(texts))
-    labels = {t: int(rng.random() < 0.15) for t in texts}
-    sets = {t: set(shingles(t).tolist()) for t in texts}
-    reached = {t for t in texts if labels[t]}
-    while True:
-        new = {t for t in texts if t not in reached and any(len(sets[t] & sets[r]) >= 0.8 * len(sets[t] | sets[r]) for r in reached)}
-        if not new:
-            break
-        reached |= new
-    got = {r["passage"] for r in spread(spark.createDataFrame(list(labels.items()), "passage string, label int")).collect()}
-    assert got == reached
+    labels = {t: int(rng.random() < 0.2) for t in texts}
+    near = lambda a, b: distance(a, b) <= HAMMING and similar(core(a), core(b))
+    expected = {t for t in texts if labels[t]}
+    seeds = len(expected)
+    while new := {t for t in texts if t not in expected and any(near(t, r) for r in expected)}:
+        expected |= new
+    assert len(expected) > seeds
+    assert reached(spark, list(labels.items())) == expected
+
+
+def test_chain_of_many_hops(spark):
+    """Each text differs from the next in one word; the label goes to the end of the chain."""
+    words = [f"w{i}" for i in range(900)]
+    chain = [" ".join(words)]
+    for i in range(14):
+        words[(i * 61 + 3) % 900] = f"new{i}"
+        chain.append(" ".join(words))
+    linked = 1
+    while linked < len(chain) and distance(chain[linked - 1], chain[linked]) <= HAMMING:
+        linked += 1
+    got = reached(spark, [(t, int(i == 0)) for i, t in enumerate(chain)])
+    assert linked > 3 and set(chain[:linked]) <= got
+
+
+def test_error_messages_come_by_spreading(spark):
+    """The message is known from pages with a status; without one it is found through its component."""
+    rows = [(1, "404 Not Found | Your request was blocked."), (2, "Whoops, your request was blocked."), (3, "The log says that your request was blocked by a rule."), (4, "Sound text.\nHm, your request was blocked!\nMore.")]
+    assert trusted("whoops, your request was blocked.") == 0
+    assert sorted(r["doc_id"] for r in find_residue(spark.createDataFrame(rows, DOCS)).collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("text", ["Dear [CUSTOMER], thanks.", "Hi <customer name>, welcome", "Ask [FIRST NAME] for it.", "Traceback (most recent call last): File \"a.py\", line 3", "Pagina non trovata", "Site en maintenance, revenez plus tard."])
+def test_slots_and_errors_by_form(spark, text):
+    assert find_residue(spark.createDataFrame([(1, text)], DOCS)).count() == 1
+
+
+@pytest.mark.parametrize("text", ["[INFO] all is well", "An <em>odd</em> <br clear> mark", "See [Smith] and [1].", "A traceback (most recent call last) was logged.", "Access denied rates rose by 5 in May."])
+def test_sound_forms(spark, text):
+    assert find_residue(spark.createDataFrame([(1, text)], DOCS)).count() == 0
+
+
+def test_no_rule_holds_without_a_sign(spark):
+    """What the rules label shows a sign, else it would not be asked for."""
+    from pyspark.sql import functions as F
+
+    texts = [p for mark in (test_residue_rules, test_wording_beside_residue_does_not_save_it) for p in mark.pytestmark[0].args[1]]
+    df = spark.createDataFrame([(t,) for t in texts], "passage string").where(~F.col("passage").rlike(residue._signs()))
+    assert [r[0] for r in df.collect()] == []
 
 
 def test_documents(spark):
