@@ -5,13 +5,19 @@ document and a question are counted in overlapping diagonal bands; bands with fe
 within the edit budget must share are dropped; the rest is verified by a banded alignment of the
 question's words.
 
-The questions are the query set and are taken in blocks of bounded size, each of which every document
-is held against where it was read. Nothing is shuffled.
+The filter loses nothing. A stretch within the budget holds WHOLE successive question words unchanged: their
+characters hold a q-gram, or, where they are fewer than Q characters, are searched for as they are. Bands are
+as wide as the longest words of document and question can shift the diagonal.
+
+The questions are the query set and are taken in blocks of bounded size, which every document is held against
+where it was read: the corpus is read once, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,17 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.textnorm import squeezed
+from assaykit.session import cut
 
 Q = 12
-#: Diagonals that one band spans; a differing word shifts the diagonal by less than half of it.
+#: Diagonals that one band spans at least; it is wider where words are long.
 BAND = 48
-#: Diagonals beyond those that share q-grams on which the alignment may run.
-SHIFT = 12
+#: So many successive words of a stretch are unchanged, wherever the differing ones are.
+WHOLE = 6
+#: Edits in the part of a stretch that is counted (under twice MIN_WORDS words).
+PART_EDITS = 2
 MIN_WORDS = 15
 #: One word in so many may differ.
 WORDS_PER_EDIT = 10
-#: A block of questions has about so many characters at most.
-BLOCK_CHARS = 2_000_000
+#: A block of questions has about so many characters at most; of more blocks than KEPT the index is made anew for each lot of documents.
+BLOCK_CHARS, KEPT = 2_000_000, 4
+#: Documents are held against all blocks in lots of about so many characters.
+LOT_CHARS = 8_000_000
 #: Documents are hashed in chunks of about so many characters.
 CHUNK_CHARS = 500_000
 
@@ -74,6 +85,9 @@ class Questions:
     def __init__(self, texts: list[str]):
         self.words: list[list[tuple[int, str]]] = []
         self.least = np.ones(max(1, len(texts)), dtype=np.int64)
+        self.longest = np.ones(max(1, len(texts)), dtype=np.int64)
+        #: Stretches of WHOLE words that have fewer characters than a q-gram: by their text, where they stand.
+        self.short: dict[str, list[tuple[int, int]]] = {}
         hashes, body, place = [], [], []
         for k, text in enumerate(texts):
             words, n = [], 0
@@ -84,13 +98,19 @@ class Questions:
                     n += len(w)
             self.words.append(words)
             whole = "".join(w for _, w in words)
-            if len(words) < MIN_WORDS or len(whole) < Q:
+            if len(words) < MIN_WORDS:
                 continue
+            for i in range(len(words) - WHOLE + 1):
+                begin, end = words[i][0], words[i + WHOLE - 1][0] + len(words[i + WHOLE - 1][1])
+                if end - begin < Q:
+                    self.short.setdefault(whole[begin:end], []).append((k, begin))
+            self.longest[k] = max(len(w) for _, w in words)
             self.least[k] = _least_shared([len(w) for _, w in words])
-            h = _grams(_codes(whole))
-            hashes.append(h)
-            body.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+            if len(whole) >= Q:
+                h = _grams(_codes(whole))
+                hashes.append(h)
+                body.append(np.full(len(h), k))
+                place.append(np.arange(len(h)))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.keys, first = np.unique(h[order], return_index=True)
@@ -114,41 +134,47 @@ class Questions:
         return np.repeat(at, n), self.body[rows], self.place[rows]
 
 
-def aligned(words: list[tuple[int, str]], text: str, starts: set[int], diagonals: Sequence[int]) -> bool:
+def aligned(words: list[tuple[int, str]], text: str, starts: list[int], low: int, high: int) -> bool:
     """Is there a stretch of at least MIN_WORDS question words in `text`, at most one in WORDS_PER_EDIT differing?
 
-    Word-wise alignment along the band's diagonals: a word matches where its characters stand on the
-    diagonal; changing the diagonal takes a differing, missing or additional word. The first and last word
-    of the stretch must be whole words of the text.
+    Word-wise alignment within the band of diagonals low .. high. A word of the question matches where its
+    characters stand; between two matches lie question words that differ or are missing and words of the text in
+    their place or put in, of which a hyphen may make two runs. The first and last word of the stretch must be
+    whole words of the text; starts are the offsets at which its words begin.
     """
-    most = len(words) // WORDS_PER_EDIT
-    state: dict[int, list[int]] = {d: [-1] * (most + 1) for d in diagonals}  # diagonal -> longest stretch by edits
+    most = max(1, len(words) // WORDS_PER_EDIT)
+    begins = set(starts)
+    # The last words' states: end of the match in the text -> longest stretch by edits.
+    recent: list[dict[int, list[int]]] = []
     for place, word in words:
-        size = len(word)
-        new = {}
-        for d in diagonals:
-            p = place + d
-            old, now = state[d], [-1] * (most + 1)
-            if p >= 0 and text.startswith(word, p):
+        size, states = len(word), {}
+        p = text.find(word, max(0, place + low), place + high + size)
+        while p >= 0:
+            now = [-1] * (most + 1)
+            if p in begins:
+                now[0] = 1
+            for back, before in enumerate(reversed(recent)):
+                for end, old in before.items():
+                    if end > p:
+                        continue
+                    runs = 0
+                    if end < p:
+                        first = bisect_left(starts, end)
+                        runs = bisect_left(starts, p) - first + (end not in begins)
+                        if runs > 2 * most:
+                            continue
+                    edits = max(back, (runs + 1) // 2)
+                    for e in range(edits, most + 1):
+                        if old[e - edits] > 0:
+                            now[e] = max(now[e], old[e - edits] + back + 1)
+            if p + size == len(text) or p + size in begins:
                 for e in range(most + 1):
-                    if old[e] > 0:
-                        now[e] = old[e] + 1
-                if now[0] < 0 and p in starts:
-                    now[0] = 1
-                if p + size == len(text) or p + size in starts:
-                    for e in range(most + 1):
-                        if now[e] >= MIN_WORDS and now[e] >= WORDS_PER_EDIT * e:
-                            return True
-            new[d] = now
-        for e in range(most):  # the question's word differs or is missing, or a word was put in before the next
-            changed = max((state[d][e] for d in diagonals), default=-1)
-            added = max((new[d][e] for d in diagonals), default=-1)
-            best = max(changed + 1 if changed > 0 else -1, added)
-            if best > 0:
-                for d in diagonals:
-                    if new[d][e + 1] < best:
-                        new[d][e + 1] = best
-        state = new
+                    if now[e] >= MIN_WORDS and now[e] >= WORDS_PER_EDIT * e:
+                        return True
+            if max(now) > 0:
+                states[p + size] = now
+            p = text.find(word, p + 1, place + high + size)
+        recent = [*recent[-most:], states]
     return False
 
 
@@ -157,7 +183,7 @@ def leaks_in(texts: list[str], questions: Questions) -> list[tuple[int, int]]:
     found, chunk, size = [], [], 0
     for i, t in enumerate(texts):
         s, starts = squeezed(t)
-        if len(s) >= Q:
+        if s:
             chunk.append((i, s, starts))
             size += len(s)
         if chunk and (size > CHUNK_CHARS or i == len(texts) - 1):
@@ -168,38 +194,59 @@ def leaks_in(texts: list[str], questions: Questions) -> list[tuple[int, int]]:
     return found
 
 
+def _longest_pairs(chunk: list[tuple[int, str, list[int]]]) -> np.ndarray:
+    """The longest two successive words of each text, in characters."""
+    out = []
+    for _, s, starts in chunk:
+        edges = np.array([*starts, len(s)])
+        out.append(int((edges[2:] - edges[:-2]).max()) if len(edges) > 2 else len(s))
+    return np.array(out, dtype=np.int64)
+
+
+def _short_hits(chunk: list[tuple[int, str, list[int]]], questions: Questions) -> list[tuple[int, int, int]]:
+    """(place in the chunk, question, diagonal) where WHOLE words with fewer characters than a q-gram stand as they are."""
+    hits = []
+    for d, (_, s, starts) in enumerate(chunk):
+        for text, at in questions.short.items():
+            p = s.find(text)
+            while p >= 0:
+                if (k := bisect_left(starts, p)) < len(starts) and starts[k] == p:
+                    hits += [(d, b, p - place) for b, place in at]
+                p = s.find(text, p + 1)
+    return hits
+
+
 def _leaks(chunk: list[tuple[int, str, list[int]]], questions: Questions) -> list[tuple[int, int]]:
-    joined = _codes("\x00".join(s for _, s, _ in chunk))
-    begin = np.cumsum([0] + [len(s) + 1 for _, s, _ in chunk[:-1]])
-    at, body, place = questions.occurrences(_grams(joined))
-    if not len(at):
-        return []
-    doc = np.searchsorted(begin, at, side="right") - 1
-    diagonal = at - begin[doc] - place
-    offset = 1 << 40
-    keep = np.zeros(len(at), dtype=bool)
-    band_of = []
-    for shift in (0, BAND // 2):  # overlapping bands
-        band = (diagonal + shift + offset) // BAND
-        keys = np.stack([doc, body, band], axis=1)
-        _, inverse, n = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
-        inverse = inverse.reshape(-1)
-        enough = n[inverse] >= questions.least[body]
-        keep |= enough
-        band_of.append((inverse, enough))
-    bands: dict[tuple[int, int, int, int], set[int]] = {}
-    for shift, (inverse, enough) in enumerate(band_of):
-        for j in np.flatnonzero(enough):
-            bands.setdefault((int(doc[j]), int(body[j]), shift, int(inverse[j])), set()).add(int(diagonal[j]))
     found: set[tuple[int, int]] = set()
-    begins = {chunk[d][0]: set(chunk[d][2]) for d in {key[0] for key in bands}}
-    for (d, b, _, _), diagonals in bands.items():
-        i, s, _ = chunk[d]
-        if (i, b) in found:
-            continue
-        # Most regions show on the diagonals that share q-grams; runs of words too short for one stand on others of the band.
-        whole = range(min(diagonals) - SHIFT, max(diagonals) + SHIFT + 1)
-        if aligned(questions.words[b], s, begins[i], sorted(diagonals)) or aligned(questions.words[b], s, begins[i], whole):
+    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    joined = _codes("\x00".join(s for _, s, _ in chunk))
+    if len(joined) >= Q:
+        begin = np.cumsum([0] + [len(s) + 1 for _, s, _ in chunk[:-1]])
+        at, body, place = questions.occurrences(_grams(joined))
+        if len(at):
+            doc = np.searchsorted(begin, at, side="right") - 1
+            diagonal = at - begin[doc] - place
+            # Differing words of a stretch move its diagonal by no more than half a band.
+            width = np.maximum(BAND, 2 * PART_EDITS * np.maximum(_longest_pairs(chunk)[doc], questions.longest[body]))
+            offset = 1 << 40
+            for shift in (0, 1):  # overlapping bands
+                band = (diagonal + shift * (width // 2) + offset) // width
+                order = np.lexsort((band, body, doc))
+                d, b, w = doc[order], body[order], band[order]
+                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (b[1:] != b[:-1]) | (w[1:] != w[:-1])]))
+                n = np.diff(np.append(first, len(order)))
+                low, high = np.minimum.reduceat(diagonal[order], first), np.maximum.reduceat(diagonal[order], first)
+                for j in np.flatnonzero(n >= questions.least[b[first]]):
+                    half = int(width[order[first[j]]]) // 2
+                    regions.setdefault((int(d[first[j]]), int(b[first[j]])), []).append((int(low[j]) - half, int(high[j]) + half))
+    if questions.short:
+        longest = _longest_pairs(chunk)
+        for d, b, diagonal in _short_hits(chunk, questions):
+            half = PART_EDITS * int(max(longest[d], questions.longest[b]))
+            regions.setdefault((d, b), []).append((diagonal - half, diagonal + half))
+    for (d, b), bands in regions.items():
+        i, s, starts = chunk[d]
+        if any(aligned(questions.words[b], s, starts, low, high) for low, high in sorted(set(bands))):
             found.add((i, b))
     return sorted(found)
 
@@ -228,30 +275,45 @@ def find_leaks(
 
     One word in WORDS_PER_EDIT may differ. Items with the same question each give a row. Null and empty
     texts and questions shorter than MIN_WORDS give none; repeated documents each give rows; empty tables
-    give an empty table. Documents are read once per block of questions (BLOCK_CHARS characters).
+    give an empty table. Documents are read once, however many questions there are: each lot of them is held
+    against every block of questions. The questions' texts are sent to the executors, a block at a time.
     """
     spark = docs.sparkSession
-    bodies = question_bodies(items, item_col, question_col)
+    bodies = cut(question_bodies(items, item_col, question_col).where("body is not null"))
     chars = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = 1 + int(chars) // BLOCK_CHARS
-    source = docs.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("length(text) > 0")
-    out = None
+    shared = []
     for k in range(blocks):
         rows = bodies.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == k).collect()  # a bounded block
         same: dict[str, list[int]] = {}
         for r in rows:
             same.setdefault(r["body"], []).append(r["item"])
         texts = sorted(same)
-        shared = spark.sparkContext.broadcast((texts, [same[t] for t in texts]))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            texts, ids = shared.value
-            questions = Questions(texts)
-            for batch in batches:
-                docs_ = batch["doc"].tolist()
-                pairs = [(docs_[i], item) for i, b in leaks_in(batch["text"].tolist(), questions) for item in ids[b]]
-                yield pd.DataFrame(pairs, columns=["doc", "item"]).astype("int64")
-
-        part = source.mapInPandas(search, "doc bigint, item bigint")
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("doc").alias(doc_col), F.col("item").alias(item_col))
+        shared.append(spark.sparkContext.broadcast((texts, [same[t] for t in texts])))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: OrderedDict[int, Questions] = OrderedDict()
+
+        def held_against(ids: list[int], texts: list[str]) -> pd.DataFrame:
+            pairs = []
+            for k, block in enumerate(shared):
+                if k not in kept:
+                    kept[k] = Questions(block.value[0])
+                    if len(kept) > KEPT:
+                        kept.popitem(last=False)
+                pairs += [(ids[i], item) for i, b in leaks_in(texts, kept[k]) for item in block.value[1][b]]
+            return pd.DataFrame(pairs, columns=["doc", "item"]).astype("int64")
+
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch["doc"], batch["text"], strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size > LOT_CHARS:
+                    yield held_against(ids, texts)
+                    ids, texts, size = [], [], 0
+        yield held_against(ids, texts)
+
+    source = docs.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("length(text) > 0 and doc is not null")
+    return source.mapInPandas(search, "doc bigint, item bigint").select(F.col("doc").alias(doc_col), F.col("item").alias(item_col))

@@ -117,3 +117,69 @@ def test_blocks_of_questions(spark, long_question, monkeypatch):
     items = spark.createDataFrame(list(enumerate(qs)), ITEMS)
     docs = spark.createDataFrame([(100 + i, "a " + q + " b") for i, q in enumerate(qs)], DOCS)
     assert sorted(tuple(r) for r in find_leaks(docs, items).collect()) == [(100 + i, i) for i in range(12)]
+
+
+def test_words_of_any_length_may_differ(long_question):
+    w = long_question.split()
+    for size in (1, 30, 60, 400):
+        other = "".join(random.Random(size).choice("abcdefgh") for _ in range(size))
+        replaced, added = w[3:18], w[3:18]
+        replaced[7] = other
+        added.insert(7, other)
+        missing = w[3:20]
+        del missing[8]
+        for part in (replaced, added, missing):
+            assert held("before it " + " ".join(part) + " after", long_question)
+    long = [*w[:20], "y" * 90, *w[20:]]  # the question's own word is long, and missing or short in the text
+    assert held("so " + " ".join([*w[12:20], *w[20:30]]), " ".join(long))
+    assert held("so " + " ".join([*w[12:20], "z", *w[20:30]]), " ".join(long))
+
+
+def test_words_put_in_count(long_question):
+    w = long_question.split()
+    assert not held(" ".join([*w[3:10], *(f"other{i}" for i in range(9)), *w[10:18]]), long_question)
+
+
+def test_short_words():
+    letters = list("abcdefghijklmnop")
+    q = " ".join(letters)
+    assert held("so " + q + " it", q)
+    changed = [*letters]
+    changed[8] = "z"
+    assert held("so " + " ".join(changed) + " it", q)
+    changed[4] = "y"
+    assert not held("so " + " ".join(changed) + " it", q)
+    assert not held("so " + " ".join(letters[:14]) + " it", q)
+
+
+def test_short_and_long_words_against_a_word_by_word_search():
+    """Words of one to thirty letters, one or two of a stretch differing in any length."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    sizes = (1, 1, 1, 2, 2, 3, 5, 8, 30)
+    questions = [" ".join(word(rng.choice(sizes)) for _ in range(rng.randint(15, 45))) for _ in range(12)]
+    index, texts, expected = Questions(questions), [], set()
+    for i in range(300):
+        k = rng.randrange(12)
+        w = questions[k].split()
+        size = rng.randint(13, len(w))
+        at = rng.randint(0, len(w) - size)
+        part, ok = w[at : at + size], [True] * size
+        for j in rng.sample(range(size), rng.choice((0, 1, 1, 2, 3))):
+            part[j], ok[j] = "qzx" * rng.choice((1, 2, 20)), False
+        texts.append("0 " + " ".join(part) + " 0")
+        if any(ok[a] and ok[b - 1] and b - a >= 15 and 10 * (b - a - sum(ok[a:b])) <= b - a for a in range(size) for b in range(a + 15, size + 1)):
+            expected.add((i, k))
+    assert set(leaks_in(texts, index)) == expected
+
+
+def test_corpus_is_read_once(spark, long_question, monkeypatch, tmp_path):
+    import assaykit.llm.leakage as leakage
+
+    spark.createDataFrame([(1, long_question)], DOCS).write.parquet(str(tmp_path / "docs"))
+    for size in (10_000, 40):
+        monkeypatch.setattr(leakage, "BLOCK_CHARS", size)
+        items = spark.createDataFrame([(i, long_question + f" {i}") for i in range(9)], ITEMS)
+        found = find_leaks(spark.read.parquet(str(tmp_path / "docs")), items)
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+        assert found.count() == 9
