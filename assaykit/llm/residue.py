@@ -331,8 +331,9 @@ def _signs() -> str:
 
 def passages(text: Column) -> Column:
     """Lines and sentences, lower-cased, digits as 0, blanks collapsed; code blocks are left out. Slots in capitals get double brackets."""
-    plain = F.regexp_replace(F.regexp_replace(text, _FENCE, "\n"), r"[­​-‍﻿]", "")
-    plain = F.regexp_replace(plain, rf"(?<![\[`])\[(?!(?:{_LEVELS})\])(\p{{Lu}}[\p{{Lu}}_ ]{{2,40}})\](?![\](`])", "[[$1]]")
+    plain = F.when(text.contains("```"), F.regexp_replace(text, _FENCE, "\n")).otherwise(text)
+    slots = F.regexp_replace(plain, rf"(?<![\[`])\[(?!(?:{_LEVELS})\])(\p{{Lu}}[\p{{Lu}}_ ]{{2,40}})\](?![\](`])", "[[$1]]")
+    plain = F.regexp_replace(F.when(text.contains("["), slots).otherwise(plain), r"[­​-‍﻿]", "")
     norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(plain), "[1-9]", "0"), _BLANKS, " "), " {2,}", " ")
     return F.filter(F.transform(F.split(norm, r"[\r\n]+|(?<=[.!?]) "), lambda p: F.trim(p)), lambda p: p != "")
 
