@@ -1,10 +1,11 @@
 """Splitting fields that hold several values, keeping their positions.
 
-Separators cut a field into atoms; quoted and bracketed spans stay whole. Commas, semicolons, bars,
-tabs and line breaks always separate. Blanks may or may not: they do where every piece is a parameter or
-a name that no prose has. For other fields whose only separators are blanks, a lattice of all runs of up to MAX_RUN atoms and of the whole text is weighed with value
-frequencies of the column. The frequencies start from the fields that leave no choice and are refined
-by expectation-maximisation over the others; the Viterbi path then decides.
+Every field becomes a lattice over its atoms, what stands between separators; quoted and bracketed spans are
+one atom each. Commas, semicolons, bars, tabs and line breaks always separate, so a lattice with them, or of a
+JSON list, has one path. Where blanks are the only separators and every atom may be a name or a parameter, the
+lattice is open: its edges are all runs of up to MAX_RUN atoms and the whole. Value frequencies of the column
+start from the lattices of one path and are refined over the open ones by expectation-maximisation until they
+hold still; what a lattice's Viterbi path gives are the field's values.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ PACKED_FIELDS = ("tools_available", "tool_calls", "parameters_passed", "tool_cal
 
 #: Lattice edges span up to so many atoms, besides the one that spans all.
 MAX_RUN = 3
-ITERATIONS = 2
-#: Weight of the spelling model that unseen values fall back on, and the odds of one character in it.
-PRIOR, CHAR = 1.0, 1 / 64
+#: Expectation-maximisation ends when no frequency of a field moves by more than this share of all, which a few rounds reach.
+TOLERANCE = 1e-4
+#: The odds of one character of a value that was not seen, and of such a value: as written like an identifier, or as any other text.
+CHAR, NAME_ODDS, TEXT_ODDS = 1 / 64, 1 / 4, 1 / 4096
 #: Taken off expected counts; without it every run that occurs once would be as likely as the atoms it is made of.
 DISCOUNT = 0.5
 
@@ -129,19 +131,20 @@ def _from_json(text: str, field: str) -> list[str] | None:
     return values
 
 
-def pieces_of(text: str | None, field: str) -> tuple[list[str], list[str]]:
-    """(values, atoms): the values as separators alone give them; the atoms if blanks may separate them further."""
+def lattice_of(text: str | None, field: str) -> tuple[list[str], bool]:
+    """(atoms, open): with one path the atoms are the values; an open lattice may join atoms that blanks separate."""
     if not isinstance(text, str) or not (text := text.strip()):
-        return [], []
+        return [], False
     values = _from_json(text, field)
     if values is not None:
-        return [v for v in values if v], []
-    values = [v for v in map(_unquote, _scan(text, False)) if v]
+        return [v for v in values if v], False
+    pieces = _scan(text, False)
+    values = [v for v in map(_unquote, pieces) if v]
     shape = BLANK_FIELDS.get(field)
-    if shape is None or len(values) != 1 or not re.search(r"\s", text) or len(_scan(text, False)) > 1:
-        return values, []
+    if shape is None or len(pieces) > 1 or len(values) != 1 or not re.search(r"\s", text):
+        return values, False
     atoms = [v for v in map(_unquote, _scan(text, True)) if v]
-    return values, atoms if len(atoms) > 1 and all(map(shape.match, atoms)) else []
+    return (atoms, True) if len(atoms) > 1 and all(map(shape.match, atoms)) else (values, False)
 
 
 def unit_of(value: str, field: str) -> str:
@@ -149,23 +152,15 @@ def unit_of(value: str, field: str) -> str:
     return value.partition("=")[0] if field == "parameters_passed" else value
 
 
-_PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("atoms", T.ArrayType(T.StringType()))])
+_LATTICE = T.StructType([T.StructField("atoms", T.ArrayType(T.StringType())), T.StructField("open", T.BooleanType())])
 
 
-def settled(values: list[str], atoms: list[str], field: str) -> tuple[list[str], list[str]]:
-    """(values, atoms) as of pieces_of; atoms that leave no choice are the values: parameters, and names that no prose has."""
-    if atoms and (field == "parameters_passed" or all(re.match(_IDENTIFIER, a) for a in atoms)):
-        return atoms, []
-    return values, atoms
+@F.pandas_udf(_LATTICE)
+def _lattice(field: pd.Series, text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lattice_of(t, f) for f, t in zip(field, text, strict=True)], columns=["atoms", "open"])
 
 
-@F.pandas_udf(_PIECES)
-def _pieces(field: pd.Series, text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([settled(*pieces_of(t, f), f) for f, t in zip(field, text, strict=True)], columns=["pieces", "atoms"])
-
-
-def _edges(atoms: list[str]) -> Iterator[tuple[int, int]]:
-    n = len(atoms)
+def _runs(n: int) -> Iterator[tuple[int, int]]:
     for i in range(n):
         for j in range(i + 1, min(n, i + MAX_RUN) + 1):
             yield i, j
@@ -173,16 +168,23 @@ def _edges(atoms: list[str]) -> Iterator[tuple[int, int]]:
         yield 0, n
 
 
-def lattice_edges(field: str, atoms: list[str]) -> list[tuple[int, int, str, int]]:
-    """(from, to, unit, characters) of every edge."""
-    return [(i, j, unit_of(v, field) if j == i + 1 else v, len(v)) for i, j in _edges(atoms) for v in [" ".join(atoms[i:j])]]
+def lattice_edges(field: str, atoms: list[str]) -> list[tuple[int, int, str, float]]:
+    """(from, to, unit, log odds of the unit if it was never seen) of every edge. A run of atoms is a value that holds blanks."""
+    edges = []
+    for i, j in _runs(len(atoms)):
+        unit = unit_of(atoms[i], field) if j == i + 1 else " ".join(atoms[i:j])
+        named = j == i + 1 and (field == "parameters_passed" or re.match(_IDENTIFIER, unit) is not None)
+        edges.append((i, j, unit, math.log(NAME_ODDS if named else TEXT_ODDS) + len(unit) * math.log(CHAR)))
+    return edges
+
 
+def weigh(edges: list[tuple[int, int, float, float]], total: float) -> tuple[list[tuple[int, int, float]], bool]:
+    """(expected uses of each edge by forward-backward, does the Viterbi path take single atoms only?).
 
-def _weigh(edges: list[tuple[int, int, float, int]], total: float) -> tuple[list[tuple[int, int, float]], bool]:
-    """Expected uses of each edge by forward-backward, and whether the Viterbi path takes single atoms only."""
+    edges: (from, to, count of the unit, log odds if it was never seen); total: all counts of the field.
+    """
     n = max(j for _, j, _, _ in edges)
-    spelled = math.log(CHAR)
-    cost = {(i, j): (math.log(c) if c > 0 else math.log(PRIOR) + size * spelled) - math.log(total + PRIOR) for i, j, c, size in edges}
+    cost = {(i, j): math.log(c / (total + 1)) if c > 0 else odds for i, j, c, odds in edges}
     into: dict[int, list[int]] = {}
     out_of: dict[int, list[int]] = {}
     for i, j in sorted(cost):
@@ -203,51 +205,57 @@ def _weigh(edges: list[tuple[int, int, float, int]], total: float) -> tuple[list
     return expected, all(back[j] == j - 1 for j in range(1, n + 1))
 
 
-def _weigher(total_by_field: dict[str, float]) -> Callable:
+def _weigher(totals: dict[str, float]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, field, edges in zip(batch["id"], batch["field"], batch["edges"], strict=True):
-                triples = [(e["i"], e["j"], e["c"], e["size"]) for e in edges]
+            for key, field, edges in zip(batch["key"], batch["field"], batch["edges"], strict=True):
                 units = {(e["i"], e["j"]): e["unit"] for e in edges}
-                expected, single = _weigh(triples, total_by_field.get(field, 0.0))
-                out.append((field, text, single, [(units[i, j], x) for i, j, x in expected if x > 1e-6]))
-            yield pd.DataFrame(out, columns=["field", "id", "single", "expected"])
+                expected, single = weigh([(e["i"], e["j"], e["c"], e["odds"]) for e in edges], totals.get(field, 0.0))
+                out.append((field, key, single, [(units[i, j], x) for i, j, x in expected if x > 1e-6]))
+            yield pd.DataFrame(out, columns=["field", "key", "single", "expected"])
 
     return run
 
 
-def _segment(choices: DataFrame, certain: DataFrame) -> DataFrame:
-    """(field, text) -> single: does the Viterbi path split the text at all blanks?
+def segment(choices: DataFrame, certain: DataFrame) -> tuple[DataFrame, int]:
+    """((field, key, single), rounds): does the Viterbi path split an open lattice at all blanks? And the rounds that it took.
 
-    choices: (field, text, n, atoms), distinct; certain: (field, unit, c), the counts that leave no choice.
-    Joins are by unit; the frequency table is broadcast only if it was counted to be small.
+    choices: (field, key, n, atoms), distinct; certain: (field, unit, c), the counts of the lattices of one path.
+    Joins are by unit; the frequency table is broadcast only if it was counted to be small. Only units that an
+    open lattice has are carried through the rounds.
     """
-    edge = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("unit", T.StringType()), T.StructField("size", T.IntegerType())]))
+    edge = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("unit", T.StringType()), T.StructField("odds", T.DoubleType())]))
 
     @F.pandas_udf(edge)
     def edges(field: pd.Series, atoms: pd.Series) -> pd.Series:
-        return pd.Series([[{"i": i, "j": j, "unit": u, "size": s} for i, j, u, s in lattice_edges(f, list(a))] for f, a in zip(field, atoms, strict=True)])
-
-    # Edges carry the digest of their text, not the text, of which a long one has many.
-    choices = choices.withColumn("id", F.md5("text"))
-    sizes = cut(choices.select("field", "id", "n"))
-    lattice = cut(choices.select("field", "id", F.inline(edges("field", "atoms"))))
-    counts = cut(certain)
-    for step in range(ITERATIONS + 1):
-        totals = {r["field"]: float(r["t"]) for r in counts.groupBy("field").agg(F.sum("c").alias("t")).collect()}  # one row per field
+        return pd.Series([[{"i": i, "j": j, "unit": u, "odds": x} for i, j, u, x in lattice_edges(f, list(a))] for f, a in zip(field, atoms, strict=True)])
+
+    sizes = cut(choices.select("field", "key", "n"))
+    lattice = cut(choices.select("field", "key", F.inline(edges("field", "atoms"))))
+    sums = certain.groupBy("field").agg(F.sum("c").alias("t"))
+    fixed = {r["field"]: float(r["t"]) for r in sums.collect()}  # one row per field
+    known = cut(certain.join(lattice.select("field", "unit").distinct(), ["field", "unit"], "left_semi"))
+    counts, added, rounds = known, dict.fromkeys(fixed, 0.0), 0
+    while True:
+        totals = {f: fixed.get(f, 0.0) + added.get(f, 0.0) for f in {*fixed, *added}}
         weighed = (
             lattice.join(small_side(counts), ["field", "unit"], "left")
-            .groupBy("field", "id")
-            .agg(F.collect_list(F.struct("i", "j", "unit", "size", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("edges"))
+            .groupBy("field", "key")
+            .agg(F.collect_list(F.struct("i", "j", "unit", "odds", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("edges"))
+        )
+        result = cut(weighed.mapInPandas(_weigher(totals), "field string, key string, single boolean, expected array<struct<unit: string, x: double>>"))
+        rounds += 1
+        uses = result.join(sizes, ["field", "key"]).select("field", "n", F.inline("expected")).groupBy("field", "unit").agg((F.sum(F.col("x") * F.col("n")) - DISCOUNT).alias("c")).where("c > 0")
+        new = cut(known.unionByName(uses).groupBy("field", "unit").agg(F.sum("c").alias("c")))
+        moved = new.join(counts.withColumnRenamed("c", "old"), ["field", "unit"], "full").groupBy("field").agg(
+            F.max(F.abs(F.coalesce("c", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("most"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("t")
         )
-        result = weighed.mapInPandas(_weigher(totals), "field string, id string, single boolean, expected array<struct<unit: string, x: double>>")
-        if step == ITERATIONS:
-            return result.select("field", "id", "single").join(choices.select("field", "id", "text"), ["field", "id"]).select("field", "text", "single")
-        expected = result.join(sizes, ["field", "id"]).select("field", "n", F.inline("expected")).select("field", "unit", (F.col("x") * F.col("n")).alias("c"))
-        expected = expected.groupBy("field", "unit").agg((F.sum("c") - DISCOUNT).alias("c")).where("c > 0")
-        counts = cut(certain.unionByName(expected).groupBy("field", "unit").agg(F.sum("c").alias("c")))
-    raise AssertionError
+        change = {r["field"]: (float(r["most"]), float(r["t"])) for r in moved.collect()}  # one row per field
+        before = {r["field"]: float(r["t"]) for r in known.groupBy("field").agg(F.sum("c").alias("t")).collect()} if rounds == 1 else before
+        counts, added = new, {f: t - before.get(f, 0.0) for f, (_, t) in change.items()}
+        if all(most <= TOLERANCE * max(1.0, fixed.get(f, 0.0) + t) for f, (most, t) in change.items()):
+            return result.select("field", "key", "single"), rounds
 
 
 def explode_packed(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = PACKED_FIELDS) -> DataFrame:
@@ -259,22 +267,19 @@ def explode_packed(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...
     long = df.select(
         F.col(f"`{id_col}`").alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields]))
     ).where("trim(text) <> ''")
-    parts = long.withColumn("p", _pieces("field", "text"))
-    open_ = parts.where("size(p.atoms) > 1")
-    choices = cut(open_.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"), F.any_value("p.atoms").alias("atoms")))
+    # One evaluation; fields of one value are kept where they tell frequencies.
+    parts = long.select("id", "field", _lattice("field", "text").alias("p")).select("id", "field", "p.*")
+    parts = cut(parts.where((F.size("atoms") > 1) | F.col("field").isin(list(BLANK_FIELDS)))).withColumn("key", F.when(F.col("open"), F.md5(F.array_join("atoms", " "))))
+    choices = cut(parts.where("open").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n"), F.any_value("atoms").alias("atoms")))
     unit = F.when(F.col("field") == "parameters_passed", F.substring_index("v", "=", 1)).otherwise(F.col("v"))
-    certain = (
-        parts.where(F.col("field").isin(list(BLANK_FIELDS)))
-        .select("field", F.explode(F.when(F.size("p.atoms") < 2, F.col("p.pieces")).otherwise(F.filter("p.atoms", lambda a: a.rlike(_IDENTIFIER)))).alias("v"))
+    certain = cut(
+        parts.where(F.col("field").isin(list(BLANK_FIELDS)) & ~F.col("open"))
+        .select("field", F.explode("atoms").alias("v"))
         .groupBy("field", unit.alias("unit"))
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
-    decided = cut(_segment(choices, certain).where("single").select(F.col("field").alias("f"), F.col("text").alias("t"), "single"))
-    split = parts.join(small_side(decided), F.expr("field = f and text = t"), "left")
-    values = F.when(F.col("single"), F.col("p.atoms")).otherwise(F.col("p.pieces"))
-    return (
-        split.select("id", "field", values.alias("v"))
-        .where("size(v) > 1")
-        .select(F.col("id").alias(id_col), "field", F.posexplode("v").alias("pos", "value"))
-        .withColumn("pos", F.col("pos") + 1)
+    decided = segment(choices, certain)[0]
+    split = parts.where("not open").select("id", "field", "atoms").unionByName(
+        parts.where("open").join(small_side(decided.where("single").select("field", "key")), ["field", "key"], "left_semi").select("id", "field", "atoms")
     )
+    return split.where("size(atoms) > 1").select(F.col("id").alias(id_col), "field", F.posexplode("atoms").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)

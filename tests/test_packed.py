@@ -1,6 +1,6 @@
 import pytest
 
-from assaykit.operators.packed import explode_packed, pieces_of, _weigh, lattice_edges
+from assaykit.operators.packed import explode_packed, lattice_edges, lattice_of, segment, weigh
 
 SCHEMA = "row_id long, tools_available string, tool_calls string, parameters_passed string, tool_call_results string"
 
@@ -40,27 +40,43 @@ def exploded(spark, rows, schema=SCHEMA):
     ],
 )
 def test_pieces(field, text, values):
-    assert pieces_of(text, field)[0] == values
+    assert lattice_of(text, field) == (values, False)
 
 
 def test_blanks_need_every_piece_to_fit():
-    assert pieces_of("a=1 b=2", "parameters_passed")[1] == ["a=1", "b=2"]
-    assert pieces_of('a="1 2" b=2', "parameters_passed")[1] == ['a="1 2"', "b=2"]
-    assert pieces_of("a=log line", "parameters_passed")[1] == []
-    assert pieces_of("a b, c", "tools_available")[1] == []
-    assert pieces_of("a b", "tool_calls")[1] == []
+    assert lattice_of("a=1 b=2", "parameters_passed") == (["a=1", "b=2"], True)
+    assert lattice_of('a="1 2" b=2', "parameters_passed") == (['a="1 2"', "b=2"], True)
+    assert lattice_of("a=log line", "parameters_passed") == (["a=log line"], False)
+    assert lattice_of("a b, c", "tools_available") == (["a b", "c"], False)
+    assert lattice_of("a b", "tool_calls") == (["a b"], False)
+
+
+def single(field, atoms, counts, total):
+    return weigh([(i, j, counts.get(u, 0.0), x) for i, j, u, x in lattice_edges(field, atoms)], total)
 
 
 def test_lattice_prefers_frequent_units():
-    edges = lattice_edges("tools_available", ["mailer", "profiler"])
-    count = {"mailer": 50.0, "profiler": 40.0}
-    _, single = _weigh([(i, j, count.get(u, 0.0), s) for i, j, u, s in edges], 500.0)
-    assert single
-    edges = lattice_edges("tools_available", ["see", "the", "manual", "of", "it"])
-    expected, single = _weigh([(i, j, 0.0, s) for i, j, u, s in edges], 500.0)
-    assert not single
-    through = sum(x for i, j, x in expected if i <= 2 < j)
-    assert abs(through - 1) < 1e-6
+    assert single("tools_available", ["mailer", "profiler"], {"mailer": 50.0, "profiler": 40.0}, 500.0)[1]
+    expected, alone = single("tools_available", ["see", "the", "manual", "of", "it"], {}, 500.0)
+    assert not alone
+    assert abs(sum(x for i, j, x in expected if i <= 2 < j) - 1) < 1e-6
+
+
+def test_unseen_names_do_not_depend_on_the_size_of_the_column():
+    for total in (1.0, 1e3, 1e12):
+        assert single("tools_available", ["geo_coder", "webFetch"], {}, total)[1]
+        assert single("parameters_passed", ["retries=3", "backoff=2"], {}, total)[1]
+        assert not single("tools_available", ["see", "the", "manual"], {}, total)[1]
+
+
+def test_rounds_end_when_the_frequencies_hold_still(spark):
+    """Frequencies learned from open lattices decide about others that have no other evidence."""
+    choices = spark.createDataFrame([("tools_available", "a", 40, ["mailer", "geo_coder"]), ("tools_available", "b", 1, ["mailer", "see"]), ("tools_available", "c", 3, ["ask", "me"])], "field string, key string, n long, atoms array<string>")
+    certain = spark.createDataFrame([("tools_available", "geo_coder", 5.0)], "field string, unit string, c double")
+    decided, rounds = segment(choices, certain)
+    got = {r["key"]: r["single"] for r in decided.collect()}
+    assert got["a"] and not got["c"]
+    assert 2 <= rounds <= 20
 
 
 def test_column_frequencies_decide(spark):
