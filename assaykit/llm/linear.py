@@ -6,6 +6,8 @@ import numpy as np
 import xxhash
 
 BITS = 18
+#: Rows of a mini-batch.
+BATCH = 256
 
 
 #: Names that begin so have places of their own, from 1 << BITS on.
@@ -33,25 +35,34 @@ class LinearModel:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, use: np.ndarray, seed: int, epochs: int = 4) -> None:
         """Adagrad with mini-batches; use: 0 where a row says nothing about a label, else 1."""
+        if not len(rows):
+            return
         rng = np.random.default_rng(seed)
-        g2 = np.full_like(self.w, 1e-3)
+        # Only the places that occur take part; rows lie one after the other.
+        sizes = np.array([len(r) for r in rows])
+        known, flat = np.unique(np.concatenate(rows), return_inverse=True)
+        first = np.cumsum(sizes) - sizes
+        w = self.w[known].astype(np.float64)
+        g2 = np.full_like(w, 1e-3)
+        spoken = np.ones_like(w)
+        if len(self.w) > 1 << BITS:
+            spoken[np.ix_(known >= 1 << BITS, self.others)] = 0
+        labels = w.shape[1]
         for _ in range(epochs):
             order = rng.permutation(len(rows))
-            for k in range(0, len(order), 128):
-                batch = order[k : k + 128]
-                at = np.concatenate([rows[i] for i in batch])
-                sizes = [len(rows[i]) for i in batch]
-                starts = np.cumsum([0] + sizes[:-1])
-                p = _logistic(np.add.reduceat(self.w[at], starts, axis=0))
-                error = ((p - y[batch]) * use[batch]).astype(np.float32)
+            for k in range(0, len(order), BATCH):
+                batch = order[k : k + BATCH]
+                n = sizes[batch]
+                starts = np.cumsum(n) - n
+                at = flat[np.repeat(first[batch] - starts, n) + np.arange(n.sum())]
+                p = _logistic(np.add.reduceat(w[at], starts, axis=0))
+                error = np.repeat((p - y[batch]) * use[batch], n, axis=0)
                 ids, inverse = np.unique(at, return_inverse=True)
-                g = np.zeros((len(ids), self.w.shape[1]), dtype=np.float32)
-                np.add.at(g, inverse, error[np.repeat(np.arange(len(batch)), sizes)])
-                if len(self.w) > 1 << BITS:
-                    g[np.ix_(ids >= 1 << BITS, self.others)] = 0
-                g = g / len(batch) + 1e-6 * self.w[ids]
+                g = np.stack([np.bincount(inverse, error[:, j], len(ids)) for j in range(labels)], axis=1)
+                g = (g / len(batch) + 1e-6 * w[ids]) * spoken[ids]
                 g2[ids] += g * g
-                self.w[ids] -= 0.3 * g / np.sqrt(g2[ids])
+                w[ids] -= 0.3 * g / np.sqrt(g2[ids])
+        self.w[known] = w
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         if not rows:

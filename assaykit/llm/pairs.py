@@ -9,14 +9,16 @@ those of another language, refused or emptied. Thresholds are calibrated on pair
 from __future__ import annotations
 
 import html
+import pickle
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm.linear import BITS, MARK, LinearModel, indices
@@ -28,8 +30,14 @@ SAMPLE_PAIRS = 12_000
 #: Longer pairs are judged but not fitted on, which bounds the sample in bytes too.
 SAMPLE_CHARS = 20_000
 FOLDS, ROUNDS = 3, 2
-#: The classifier is the mean of so many, each fitted on other made pairs.
+#: The classifier is the mean of so many, each fitted on a share of the made pairs.
 BAG = 3
+#: Share of the made pairs that each of them is fitted on.
+BAG_SHARE = 0.7
+#: Features of the sample are made in so many tasks.
+TASKS = 12
+#: Smaller samples are gone through several times, so that of at least so many pairs others are made.
+MADE_OF = 800
 #: Score from which a pair of the sample is left out of the fit, by defect.
 SUSPECT = {"empty": 0.3, "truncated": 0.7, "refusal": 0.1, "copy": 0.3, "language": 0.3}
 SEED = 7
@@ -76,6 +84,8 @@ STAND_INS = frozenset(
     sin respuesta|ninguna respuesta|vacío|sans réponse|aucune réponse|vide""".split("|")
 )
 
+_STAND_INS = sorted(STAND_INS)
+
 _LANG_WORDS: dict[str, list[tuple[str, float]]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in _words.split():
@@ -97,10 +107,8 @@ _CLOSERS = "\"'”’»)]}*_`"
 
 def language(text: str) -> str:
     """The language that script or function words tell, or ''."""
-    letters = sum(c.isalpha() for c in text)
-    if not letters:
-        return ""
     if not text.isascii():
+        letters = sum(map(str.isalpha, text))
         for lang, pattern in _SCRIPT_RE:
             n = len(pattern.findall(text))
             if n >= 2 and n >= 0.2 * letters:
@@ -110,7 +118,7 @@ def language(text: str) -> str:
         return ""
     scores: dict[str, float] = {}
     for w in words:
-        for part in {w, *re.split(r"['’]", w)}:
+        for part in {w, *re.split(r"['’]", w)} if "'" in w or "’" in w else (w,):
             for lang, x in _LANG_WORDS.get(part, ()):
                 scores[lang] = scores.get(lang, 0.0) + x
     if "¿" in text or "¡" in text:
@@ -139,8 +147,7 @@ class Vocabulary:
 
     def __init__(self, texts: list[str]):
         n = Counter(w for t in texts for w in set(_WORD.findall(t)))
-        least = 3 if len(texts) > 3000 else 2
-        self.words = frozenset(w for w, k in n.items() if k >= least and not (w[0].isupper() and k < 0.002 * len(texts)))
+        self.words = frozenset(w for w, k in n.items() if k >= 2 and not (w[0].isupper() and k < 0.002 * len(texts)))
 
     def token(self, t: str) -> str:
         c = t[0]
@@ -160,9 +167,11 @@ def features(q: str | None, a: str, vocabulary: Vocabulary) -> list[str]:
     bare = content(a)
     words = plain_words(text)
     kept = bare.lower()
-    if not kept or kept in STAND_INS or text.strip(" ()[]<>{}\"'.*_-").lower() in STAND_INS:
-        f.append("empty")
+    if not kept:
+        f.append("no words")
         return f
+    if kept.count(" ") < 5:  # a short response is known as a whole
+        f.append(f"whole:{kept}")
     tokens = [vocabulary.token(t) for t in _TOKEN.findall(text)]
     tail = text.rstrip()
     while tail and tail[-1] in _CLOSERS and len(tail) > 1:
@@ -249,14 +258,23 @@ class Classifier(LinearModel):
             best = cuts[f1 >= f1.max() - TOLERANCE]
             self.thresholds[k] = best[len(best) // 2]
 
-    def decide(self, rows: list[np.ndarray]) -> list[str | None]:
-        """The defect whose score exceeds its threshold by the greatest odds; None if none does."""
+    def labels(self, rows: list[np.ndarray]) -> list[list[tuple[str, float]]]:
+        """Of each row the defects whose scores reach their thresholds, with the odds beyond, the greatest first."""
         p = np.clip(self.scores(rows), 1e-6, 1 - 1e-6)
         margin = np.log(p / (1 - p)) - np.log(self.thresholds / (1 - self.thresholds))
-        best = margin.argmax(axis=1) if len(margin) else []
-        return [DEFECTS[k] if margin[i, k] >= 0 else None for i, k in enumerate(best)]
+        return [sorted(((DEFECTS[k], float(m[k])) for k in np.flatnonzero(m > 0)), key=lambda x: -x[1]) for m in margin]
+
+    def decide(self, rows: list[np.ndarray]) -> list[str | None]:
+        """The first of the labels; None if there is none."""
+        return [x[0][0] if x else None for x in self.labels(rows)]
 
 
+#: Sound pairs that every sample has besides its own, so that a fit is never without one.
+EXAMPLES = (
+    ("What colour is the door?", "The door is green."), ("How many rooms does the house have?", "It has four rooms and a kitchen."), ("Who wrote the letter?", "Her brother wrote it in May."),
+    ("When does the train leave?", "The train leaves at noon."), ("Where is the key?", "The key lies under the mat."), ("Name three fruits.", "Apples, pears and plums"),
+)
+
 #: Features that no pair is taken as sound with.
 UNCLOSED = frozenset(("open fence", "open bracket", "open quote", "bare item"))
 
@@ -311,6 +329,23 @@ def _refusal(rng: random.Random, lang: str, name: str, kind: str) -> str:
     return (text + rng.choice(_AFTER.get(lang, ("",)))).replace("'", rng.choice("'''’"))
 
 
+def _brief(rng: random.Random) -> str:
+    """A sound answer of a word or two: a number, a letter, yes or no, an invented name."""
+    name = "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))).capitalize()
+    number = str(rng.randint(0, 10 ** rng.randint(1, 5)))
+    text = rng.choice((number, name, f"{name} {name.lower()}", f"{number} {name.lower()}", rng.choice("ABCDE"), rng.choice(("Yes", "No", "Ja", "Nein", "Oui", "Non", "Sí", "True", "False"))))
+    return text + rng.choice(("", "", "", "."))
+
+
+def _emptied(rng: random.Random) -> str:
+    """Nothing, marks only, or a stand-in in some writing."""
+    if rng.random() < 0.3:
+        return rng.choice(_EMPTIES)
+    text = rng.choice(_STAND_INS)
+    text = rng.choice((text, text, text.upper(), text.capitalize(), text.title()))
+    return rng.choice(("{}", "{}", "{}", "{}.", "[{}]", "({})", "<{}>", '"{}"', "<p>{}</p>", "**{}**", " {} ", "- {}")).replace("{}", text)
+
+
 def _before(rng: random.Random, lang: str, name: str, kind: str, sentences: list[str]) -> str:
     """One or two sentences that neither answer nor refuse: preambles, or sound sentences of other pairs."""
     forms = _PREAMBLES.get(lang, _PREAMBLES["en"])
@@ -357,19 +392,30 @@ def _copied(rng: random.Random, q: str) -> str:
     return rng.choice(forms)
 
 
-def synthesize(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[str | None, str, int | None]]:
-    """(prompt, response, defect number) made from the sample's pairs. None: sound, a response without its full stop."""
-    rng = random.Random(seed)
+def context_of(pairs: list[tuple[str | None, str]]) -> tuple:
+    """What made pairs take from the whole sample: names, subjects, responses by language, whole sentences by language."""
     names = [w for q, _ in pairs if q for w in re.findall(r"(?<=\w )[A-Z][a-z]{3,}", q)] or ["Alpha"]
     # What a refusal is about: a word or two of some prompt.
     kinds = [m for q, _ in pairs if q for m in re.findall(r"\b[a-z]{4,}(?: [a-z]{3,})?\b", q)] or ["report"]
     by_language: dict[str, list[str]] = {}
     for _, a in pairs:
         by_language.setdefault(language(a), []).append(a)
-    known = sorted(k for k in by_language if k)
     whole = {k: [x.strip() for a in v for x in re.findall(r"[^.!?\n]{20,}[.!?](?=\s|\Z)", a)] for k, v in by_language.items()}
-    out: list[tuple[str | None, str, int | None]] = []
-    for q, a in pairs:
+    return names, kinds, by_language, whole
+
+
+def synthesize(pairs: list[tuple[str | None, str]], seed: int, context: tuple | None = None, inside: range | None = None) -> list[tuple[int, str | None, str, int | None]]:
+    """(place of the pair, prompt, response, defect number) made from the sample's pairs. None: sound, a response without its full stop.
+
+    What is made of a pair depends on its place and the seed alone, so that parts of the sample can be made apart.
+    """
+    names, kinds, by_language, whole = context_of(pairs) if context is None else context
+    known = sorted(k for k in by_language if k)
+    made: list[tuple[int, str | None, str, int | None]] = []
+    for place in range(len(pairs)) if inside is None else inside:
+        q, a = pairs[place % len(pairs)]
+        rng = random.Random(seed * 1_000_003 + place)
+        out: list[tuple[str | None, str, int | None]] = []
         if rng.random() < TRUNCATED_SHARE and (t := _truncated(rng, a)) is not None:
             out.append((q, t, DEFECTS.index("truncated")))
         if a.rstrip().endswith(".") and rng.random() < 0.6:
@@ -386,12 +432,14 @@ def synthesize(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[str
         told = (spoken, rng.choice(names), rng.choice(kinds))
         if rng.random() < 0.15:
             out.append((q, _before(rng, *told, whole.get(spoken, [])) + _refusal(rng, *told), DEFECTS.index("refusal")))
-        if language(a) == spoken and rng.random() < 0.12:
+        if language(a) == spoken and rng.random() < 0.25:
             # What an answer follows, or an apology beside one, is no refusal.
             sorry = rng.choice(_APOLOGIES.get(spoken, _APOLOGIES["en"]))
             out.append((q, rng.choice((_before(rng, *told, []) + a, f"{sorry} {a}", f"{_before(rng, *told, [])}{sorry} {a}", f"{a.rstrip()} {sorry}")), None))
-        if rng.random() < 0.08:
-            out.append((q, rng.choice(_EMPTIES), DEFECTS.index("empty")))
+        if rng.random() < 0.12:
+            out.append((q, _emptied(rng), DEFECTS.index("empty")))
+        if rng.random() < 0.12:
+            out.append((q, _brief(rng), None))
         if q and content(q) and len(q.split()) > 1 and not _REPEAT.search(q) and rng.random() < 0.35:
             out.append((q, _copied(rng, q), DEFECTS.index("copy")))
         others = [k for k in known if k != lang]
@@ -399,86 +447,153 @@ def synthesize(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[str
             other = rng.choice(others)
             if not any(_NAME_OF.get(w) == other for w in plain_words(q)):
                 out.append((q, rng.choice(by_language[other]), DEFECTS.index("language")))
-    return out
+        made += [(place, *x) for x in out]
+    return made
 
 
-def _labels(sound: int, made: list[tuple[str | None, str, int | None]]) -> np.ndarray:
-    y = np.zeros((sound + len(made), len(DEFECTS)), dtype=np.float32)
-    for j, (_, _, k) in enumerate(made):
+def _labels(defects: list[int | None]) -> np.ndarray:
+    y = np.zeros((len(defects), len(DEFECTS)), dtype=np.float32)
+    for i, k in enumerate(defects):
         if k is not None:
-            y[sound + j, k] = 1
+            y[i, k] = 1
     return y
 
 
-def fit(pairs: list[tuple[str | None, str]], seed: int = SEED) -> tuple[Vocabulary, Classifier]:
+def _tasks(spark: SparkSession | None, n: int, f: Callable[[int], object]) -> list:
+    """[f(0), .., f(n - 1)], each in a task of its own if there is a session."""
+    if spark is None:
+        return [f(i) for i in range(n)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                yield pd.DataFrame({"id": [i], "out": [pickle.dumps(f(int(i)))]})
+
+    rows = spark.range(0, n, 1, n).mapInPandas(run, "id long, out binary").collect()  # n bounded results
+    return [pickle.loads(r["out"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+
+class _Rows:
+    """Feature rows of a list of pairs, one after the other."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.ends = np.cumsum([len(r) for r in rows]) if rows else np.zeros(0, np.int64)
+
+    def rows(self) -> list[np.ndarray]:
+        return [r.astype(np.int64) for r in np.split(self.flat, self.ends[:-1])] if len(self.ends) else []
+
+
+def fit(pairs: list[tuple[str | None, str]], seed: int = SEED, spark: SparkSession | None = None) -> tuple[Vocabulary, Classifier]:
     """Fit on the sample, without the pairs of it that look defective themselves, and calibrate on a fifth held out.
 
     What looks defective is told by models that have not seen the pair: the sample is cut into FOLDS, each is
-    judged by a model of the others, and pairs with a score above SUSPECT are left out of the fit.
+    judged by a model of the others, and pairs with a score above SUSPECT are left out of the fit. Features and
+    models are made in tasks; the sample, its features and the models are of bounded size.
     """
-    pairs = sorted(set(pairs), key=lambda p: (p[0] or "", p[1]))
-    vocabulary = Vocabulary([a for _, a in pairs])
-    named = [features(q, a, vocabulary) for q, a in pairs]
-    base = [indices(f) for f in named]
-    fold = np.random.default_rng(seed).permutation(len(pairs)) % FOLDS
-    suspect = np.array([SUSPECT[d] for d in DEFECTS])
-    use = np.ones((len(pairs), len(DEFECTS)), dtype=np.float32)
-    never_closed = np.array([any(x in UNCLOSED for x in f) for f in named], dtype=bool)
-    use[never_closed, DEFECTS.index("truncated")] = 0
-
-    def train(inside: np.ndarray, seed: int, whole: bool = True) -> Classifier:
-        made = synthesize([pairs[i] for i in inside if use[i].min() > 0], seed)
-        rows = [base[i] for i in inside] + [indices(features(q, a, vocabulary)) for q, a, _ in made]
+    pairs = sorted({*pairs, *EXAMPLES}, key=lambda p: (p[0] or "", p[1]))
+    n = len(pairs)
+    vocabulary, context = Vocabulary([a for _, a in pairs]), context_of(pairs)
+    share = spark.sparkContext.broadcast if spark else lambda x: SimpleNamespace(value=x)
+    places = n * -(-MADE_OF // n) if n < MADE_OF else n
+    given = share((pairs, vocabulary, context))
+
+    def part(i: int) -> tuple:
+        pairs, vocabulary, context = given.value
+        named = [features(*pairs[k], vocabulary) for k in range(n * i // TASKS, n * (i + 1) // TASKS)]
+        made = synthesize(pairs, seed, context, range(places * i // TASKS, places * (i + 1) // TASKS))
+        closed = [not any(x in UNCLOSED for x in f) for f in named]
+        return _Rows([indices(f) for f in named]), closed, [(m[0] % n, m[3]) for m in made], _Rows([indices(features(q, a, vocabulary)) for _, q, a, _ in made])
+
+    parts = _tasks(spark, TASKS, part)
+    closed = np.array([x for p in parts for x in p[1]], dtype=bool)
+    source = np.array([k for p in parts for k, _ in p[2]], dtype=np.int64)
+    labels = _labels([None] * n + [d for p in parts for _, d in p[2]])
+    data = share(([r for p in parts for r in p[0].rows()] + [r for p in parts for r in p[3].rows()], labels, source))
+
+    def train(inside: np.ndarray, use: np.ndarray, seed: int, whole: bool, share_of_made: float = 1.0) -> Classifier:
+        rows, y, source = data.value
+        usable = inside & (use.min(axis=1) > 0)
+        made = np.flatnonzero(usable[source] & (np.random.default_rng(seed).random(len(source)) < share_of_made))
+        at = np.concatenate([np.flatnonzero(inside), n + made])
         w = np.concatenate([use[inside], np.ones((len(made), len(DEFECTS)), dtype=np.float32)])
+        chosen = [rows[i] for i in at]
         model = Classifier()
-        model.fit(rows if whole else [r[r < 1 << BITS] for r in rows], _labels(len(inside), made), w, seed)
+        model.fit(chosen if whole else [r[r < 1 << BITS] for r in chosen], y[at], w, seed)
         return model
 
+    fold = np.random.default_rng(seed).permutation(n) % FOLDS
+    suspect = np.array([SUSPECT[d] for d in DEFECTS])
+    example = np.array([p in EXAMPLES for p in pairs])
+    use = np.ones((n, len(DEFECTS)), dtype=np.float32)
+    use[~closed, DEFECTS.index("truncated")] = 0
     # What stands beside refusals of the sample would pass as sound: those that the head tells are left out before the rest is fitted on.
     for step in range(ROUNDS + 1):
-        whole = step == ROUNDS
-        scores = np.zeros((len(pairs), len(DEFECTS)))
-        for k in range(FOLDS):
+        whole, current = step == ROUNDS, use
+
+        def judge(k: int, whole=whole, step=step, current=current) -> tuple:
             out = np.flatnonzero(fold == k)
-            scores[out] = train(np.flatnonzero(fold != k), seed + 10 * step + k, whole).scores([base[i] for i in out])
+            return out, train(fold != k, current, seed + 10 * step + k, whole).scores([data.value[0][i] for i in out])
+
+        scores = np.zeros((n, len(DEFECTS)))
+        for out, x in _tasks(spark, FOLDS, judge):
+            scores[out] = x
         use = use * (scores < suspect) if whole else (scores < suspect).astype(np.float32)
-        use[never_closed, DEFECTS.index("truncated")] = 0
-    held = np.random.default_rng(seed).random(len(pairs)) < 0.2
+        use[~closed, DEFECTS.index("truncated")] = 0
+        use[example] = 1
+    held = (np.random.default_rng(seed).random(n) < 0.2) & ~example
+
+    def bagged(j: int) -> tuple:
+        w = train(~held, use, seed + 99 + j, True, BAG_SHARE).w
+        at = np.flatnonzero(w.any(axis=1))
+        return at, w[at]
+
     model = Classifier()
-    model.w = np.mean([train(np.flatnonzero(~held), seed + 99 + j).w for j in range(BAG)], axis=0)
+    for at, w in _tasks(spark, BAG, bagged):
+        model.w[at] += w / BAG
     # As sound ones only real pairs count here: how often a made one looks defective says nothing about the data.
-    sound = np.flatnonzero(held & (use.min(axis=1) > 0))
-    made = [x for x in synthesize([pairs[i] for i in sound], seed + 199) if x[2] is not None]
-    model.calibrate([base[i] for i in sound] + [indices(features(q, a, vocabulary)) for q, a, _ in made], _labels(len(sound), made))
+    rows, y, source = data.value
+    sound = held & (use.min(axis=1) > 0)
+    at = np.concatenate([np.flatnonzero(sound), n + np.flatnonzero(sound[source] & y[n:].any(axis=1))])
+    model.calibrate([rows[i] for i in at], y[at])
     return vocabulary, model
 
 
 def _sample(pairs: DataFrame) -> list[tuple[str | None, str]]:
-    usable = pairs.where((F.length("a") > 0) & (F.length("a") + F.coalesce(F.length("q"), F.lit(0)) <= SAMPLE_CHARS))
-    total = usable.count()
-    share = max(1, total // (3 * SAMPLE_PAIRS))
-    chosen = usable.select("q", "a").where(F.pmod(F.xxhash64("q", "a"), F.lit(share)) == 0).distinct()
+    """At most SAMPLE_PAIRS distinct pairs, chosen by hash. Of longer texts the whole sentences within SAMPLE_CHARS are taken."""
+    within = lambda c, n: F.when(F.length(c) <= n, F.col(c)).otherwise(F.regexp_substr(F.substring(c, 1, n), F.lit(r"(?s)\A.*[.!?](?=\s)")))
+    usable = pairs.select(within("q", SAMPLE_CHARS // 2).alias("q"), within("a", SAMPLE_CHARS // 2).alias("a")).where("length(a) > 0")
+    key = F.xxhash64("q", "a")
+    # So many distinct pairs there are about: repeated ones do not thin the sample.
+    total = usable.agg(F.approx_count_distinct(key, 0.05)).first()[0]
+    chosen = usable.where(F.pmod(key, F.lit(max(1, total // (3 * SAMPLE_PAIRS)))) == 0).distinct()
     return [(r["q"], r["a"]) for r in chosen.orderBy(F.xxhash64("a", "q")).limit(SAMPLE_PAIRS).collect()]
 
 
-def find_defects(pairs: DataFrame) -> DataFrame:
-    """(table_name, record_id, defect) of the defective rows of pairs (table_name, record_id, q, a).
+def label_pairs(pairs: DataFrame) -> DataFrame:
+    """(table_name, record_id, labels) of the rows of pairs (table_name, record_id, q, a): every defect whose score
+    reaches its threshold, as an array of (defect, margin), the greatest margin first; an empty array for sound rows.
 
-    A null or blank response is empty whatever the prompt. A null prompt can neither be copied nor differ in
-    language. Every copy of a repeated row counts. The sample is bounded by SAMPLE_PAIRS; all rows are judged.
-    An empty table gives an empty table. Texts of any length are judged whole: n-grams are those of all tokens.
+    A null response counts as an empty one. A null prompt can neither be copied nor differ in language. Every copy
+    of a repeated row counts. The sample is bounded by SAMPLE_PAIRS; all rows are judged. An empty table gives an
+    empty table. Texts of any length are judged whole: n-grams are those of all tokens.
     """
     spark = pairs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(_sample(pairs)))
+    shared = spark.sparkContext.broadcast(fit(_sample(pairs), spark=spark))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, model = shared.value
         for batch in batches:
             rows = [indices(features(q if isinstance(q, str) else None, a if isinstance(a, str) else "", vocabulary)) for q, a in zip(batch["q"], batch["a"], strict=True)]
-            out = batch[["table_name", "record_id"]].assign(defect=model.decide(rows))
-            yield out[out["defect"].notna()]
+            yield batch[["table_name", "record_id"]].assign(labels=model.labels(rows))
+
+    schema = "table_name string, record_id bigint, labels array<struct<defect: string, margin: double>>"
+    return pairs.select("table_name", "record_id", "q", "a").mapInPandas(judge, schema)
 
-    return pairs.select("table_name", "record_id", "q", "a").mapInPandas(judge, "table_name string, record_id bigint, defect string")
+
+def find_defects(pairs: DataFrame) -> DataFrame:
+    """(table_name, record_id, defect) of the defective rows of pairs: of the labels of label_pairs the first, as one defect applies."""
+    return label_pairs(pairs).where("size(labels) > 0").select("table_name", "record_id", F.get("labels", 0)["defect"].alias("defect"))
 
 
 def pairs_of(df: DataFrame, table_name: str, id_col: str, question_col: str, answer_col: str) -> DataFrame:

@@ -45,9 +45,9 @@ def judge(fitted, *pairs):
 
 def test_held_out_accuracy(fitted):
     sound = corpus(600, seed=77)
-    made = [x for x in P.synthesize(sound, 123)]
-    got = judge(fitted, *[(q, a) for q, a, _ in made])
-    want = [None if k is None else P.DEFECTS[k] for _, _, k in made]
+    made = P.synthesize(sound, 123)
+    got = judge(fitted, *[(q, a) for _, q, a, _ in made])
+    want = [None if k is None else P.DEFECTS[k] for _, _, _, k in made]
     for k, name in enumerate(P.DEFECTS):
         at = [i for i, w in enumerate(want) if w == name]
         recall = sum(got[i] == name for i in at) / len(at)
@@ -112,3 +112,35 @@ def test_every_token_has_features(fitted):
     tokens = [vocabulary.token(t) for t in P._TOKEN.findall(text)]
     marks = {x.split(":", 1)[1] for x in P.features("q", text, vocabulary) if x.split(":", 1)[0].strip("\0") in ("u", "mu", "lu")}
     assert marks == set(tokens)
+
+
+def test_short_answers_are_no_empty_ones():
+    q = "How many tickets did Korri keep?"
+    rng = random.Random(9)
+    brief = [(f"How many {rng.choice(NOUNS)}s did run {i} keep?", rng.choice((str(rng.randint(0, 500)), "None of them.", "Yes", "No", "Tarvo", "A"))) for i in range(150)]
+    fitted = P.fit(corpus(1500) + brief)
+    assert judge(fitted, (q, "62"), (q, "Yes"), (q, "Mirquinkas"), (q, "B")) == [None] * 4
+    assert judge(fitted, (q, "[none]"), (q, "<p>No answer</p>"), (q, "NULL."), (q, "TBD")) == ["empty"] * 4
+
+
+def test_all_labels_are_given(spark):
+    rows = [("t", i, q, a) for i, (q, a) in enumerate(corpus(800, 5))] + [("t", 9001, "How many tickets did Korri keep?", "")]
+    got = {r["record_id"]: r["labels"] for r in P.label_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 801 and [x["defect"] for x in got[9001]][0] == "empty"
+    assert all(x["margin"] > 0 and y["margin"] <= x["margin"] for v in got.values() for x, y in zip(v, v[1:], strict=False))
+
+
+def test_repeated_pairs_do_not_thin_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("t", i, q, a) for i, (q, a) in enumerate(corpus(200, 4))], SCHEMA)
+    distinct = rows.select("q", "a").distinct().count()
+    assert len(P._sample(rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1000)))))) == distinct
+
+
+def test_only_long_responses(spark):
+    """Responses beyond the sample's bound are judged, and their first sentences fitted on."""
+    rows = [("t", i, q, (a.rstrip(".") + ". ") * 700) for i, (q, a) in enumerate(corpus(40, 3))]
+    got = P.find_defects(spark.createDataFrame([*rows, ("t", 99, "Why?", "")], SCHEMA)).collect()
+    assert [r["defect"] for r in got if r["record_id"] == 99] == ["empty"]
+    assert not any(r["defect"] == "empty" for r in got if r["record_id"] != 99)
