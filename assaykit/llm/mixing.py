@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.linear import LinearModel, indices
 from assaykit.llm.percentiles import order_key
-from assaykit.session import cut
+from assaykit.session import cut, small_side
 
 #: Vocabulary of a public tokenizer, as ranks; the default place is that of the test machine.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,11 +32,10 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 SAMPLE_DOCS = 8_000
 #: Longer documents are classified but not fitted on.
 SAMPLE_CHARS = 50_000
-#: Sources are columns of the membership; more than so many are an error.
-MAX_SOURCES = 500
-ITERATIONS = 30
-#: Residual, as a share of the mix's size, at which the gradient stops.
-TOLERANCE = 1e-6
+#: Stands for all sources that no mix has as a target. They are not used, so they need no column of their own.
+OTHER = "\0other"
+#: The gradient stops when no residual moves by more than this share of the mix's size; what is left after ROUNDS shows in expected_tokens.
+TOLERANCE, ROUNDS = 2e-4, 30
 SEED = 11
 
 
@@ -77,12 +76,13 @@ def text_features(text: str) -> list[str]:
     return f
 
 
-def classify(docs: DataFrame, sources: list[str]) -> DataFrame:
-    """(doc, tokens, posterior): an array of probabilities in the order of sources, for the rows without source.
+def classify(base: DataFrame, docs: DataFrame, sources: list[str]) -> DataFrame:
+    """(doc, tokens, posterior): an array of probabilities in the order of sources, for the rows of docs without source.
 
-    docs: (doc, text, source, tokens). Fitted on a bounded, hash-chosen sample of the rows that have a source.
+    base: (doc, text, source); docs: (doc, text, source, tokens), with texts where there is no source. Fitted on a
+    bounded, hash-chosen sample of the rows of base that have a source; sources that are not listed are OTHER.
     """
-    labelled = docs.where(F.col("source").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)).select("doc", "text", "source")
+    labelled = base.where(F.col("source").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)).select("doc", "text", "source")
     share = max(1, labelled.count() // (3 * SAMPLE_DOCS))
     chosen = labelled.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).orderBy(F.xxhash64("doc", F.lit(1))).limit(SAMPLE_DOCS)
     sample = chosen.select("text", "source").collect()
@@ -90,7 +90,7 @@ def classify(docs: DataFrame, sources: list[str]) -> DataFrame:
     rows = [indices(text_features(r["text"])) for r in sample]
     y = np.zeros((len(rows), len(sources)), dtype=np.float32)
     for i, r in enumerate(sample):
-        y[i, place[r["source"]]] = 1
+        y[i, place.get(r["source"], place[OTHER])] = 1
     model = LinearModel(len(sources))
     if rows:
         model.fit(rows, y, np.ones_like(y), SEED)
@@ -120,9 +120,10 @@ def _targets(targets: DataFrame, total: int, sources: list[str]) -> tuple[list[s
     return mixes, np.divide(weights, sums, out=np.zeros_like(weights), where=sums > 0) * sizes[:, None] * total, limits
 
 
-def fit_rates(units: DataFrame, mixes: list[str], target: np.ndarray, sources: list[str]) -> DataFrame:
+def fit_rates(units: DataFrame, mixes: list[str], target: np.ndarray, sources: list[str]) -> tuple[DataFrame, np.ndarray]:
     """Projected-gradient least squares. units: (unit, tokens, p, limits): tokens, membership and limits by mix;
-    returns units with `rates`, an array by mix.
+    returns units with `rates`, an array by mix, and the expected tokens by mix and source, whose difference from
+    the target is the residual left.
 
     The step of a document along the gradient is scaled by its sources' total tokens, which makes rates equal
     within a source and the step length 1 safe. Each iteration is one aggregation that returns mixes x sources sums.
@@ -136,17 +137,17 @@ def fit_rates(units: DataFrame, mixes: list[str], target: np.ndarray, sources: l
     state = state.withColumn("rates", F.array(*[F.lit(0.0)] * m))
     size = np.maximum(target.sum(axis=1, keepdims=True), 1.0)
     last = None
-    for step in range(ITERATIONS):
+    for step in range(ROUNDS):
         residual = sums(state) - target
         if last is not None and np.abs((residual - last) / size).max(initial=0.0) < TOLERANCE:
-            break
+            break  # residual is that of the rates as they are
         last = residual
         g = residual / whole
         move = lambda i: F.aggregate(F.zip_with("p", F.array(*[F.lit(float(x)) for x in g[i]]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         state = state.withColumn("rates", F.array(*[F.least(F.col("limits")[i], F.greatest(F.lit(0.0), F.col("rates")[i] - move(i))) for i in range(m)]))
         if step % 4 == 3:
             state = cut(state)
-    return state
+    return state, target + residual
 
 
 def mix(
@@ -156,7 +157,9 @@ def mix(
 
     documents: (mix_name, doc_col, source, tokens, repeats), repeats > 0; source is the recorded one or the
     most probable. shares: (mix_name, source, target_tokens, target_share, actual_tokens, actual_share,
-    available_tokens, max_repeats), for targets and for sources without target.
+    expected_tokens, available_tokens, max_repeats), for the sources that some mix has as a target; expected_tokens
+    are those that the fitted rates give a source by membership, so their distance from the target is the residual.
+    Sources that no mix has as a target are not used and not listed, however many there are.
 
     Weights are taken relative to their sum. A source that cannot reach its target even when every document
     is used max_repeats times is used so often, and its share stays below; a source without documents has
@@ -169,51 +172,52 @@ def mix(
     ).where("mix is not null and source is not null")
     base = docs.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), source_key(F.col(f"`{source_col}`").cast("string")).alias("source"))
     counted = with_tokens(base, "text", tokenizer)
-    sized = cut(counted.select("doc", "source", "tokens"))
-    names = sized.select("source").unionByName(want.select("source")).where("source is not null").distinct().limit(MAX_SOURCES + 1).collect()
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = sorted(r["source"] for r in names)
+    # Tokenised once; only texts that must be classified are kept.
+    sized = cut(counted.select("doc", "source", "tokens", F.when(F.col("source").isNull(), F.col("text")).alias("text")))
+    names = want.select("source").distinct().collect()  # a row per source in the targets
+    sources = [*sorted(r["source"] for r in names), OTHER]
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     mixes, target, limits = _targets(want, int(total), sources)
     if not mixes:
         spark = docs.sparkSession
         return (
             spark.createDataFrame([], f"mix_name string, {doc_col} bigint, source string, tokens bigint, repeats bigint"),
-            spark.createDataFrame([], "mix_name string, source string, target_tokens double, target_share double, actual_tokens bigint, actual_share double, available_tokens bigint, max_repeats int"),
+            spark.createDataFrame([], "mix_name string, source string, target_tokens double, target_share double, actual_tokens bigint, actual_share double, expected_tokens double, available_tokens bigint, max_repeats int"),
         )
+    listed = F.when(F.col("source").isin(sources), F.col("source")).when(F.col("source").isNotNull(), OTHER)
     one_hot = F.transform(F.array(*[F.lit(s) for s in sources]), lambda s: (s == F.col("source")).cast("double"))
     limit_of = lambda place: F.array(*[F.element_at(F.array(*[F.lit(float(x)) for x in limits[i]]), place + 1) for i in range(len(mixes))])
     best = lambda p: F.array_position(p, F.array_max(p)).cast("int") - 1
-    soft = cut(classify(counted, sources).withColumn("best", best(F.col("posterior"))).select("doc", F.lit(False).alias("whole"), F.col("tokens").cast("double"), F.col("posterior").alias("p"), "best"))
+    soft = cut(classify(base, sized, sources).withColumn("best", best(F.col("posterior"))).select("doc", F.lit(False).alias("whole"), F.col("tokens").cast("double"), F.col("posterior").alias("p"), "best"))
     # Documents of one source move alike: they are one unit, so that the iterations run over few rows.
     hard = (
-        sized.where("source is not null and tokens > 0").groupBy("source").agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("p", one_hot)
+        sized.where("source is not null and tokens > 0").groupBy(listed.alias("source")).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("p", one_hot)
         .select(F.lit(None).cast("bigint").alias("doc"), F.lit(True).alias("whole"), "tokens", "p", best(F.col("p")).alias("best"))
     )
     units = cut(hard.unionByName(soft).withColumn("limits", limit_of(F.col("best"))))
-    rated = cut(fit_rates(units, mixes, target, sources))
+    fitted, expected = fit_rates(units, mixes, target, sources)
+    rated = cut(fitted)
     name_of = F.element_at(F.array(*[F.lit(s) for s in sources]), F.col("best") + 1)
     long = rated.select("doc", "whole", "tokens", name_of.alias("source"), F.posexplode("rates").alias("m", "rate"))
     mix_name = F.element_at(F.array(*[F.lit(x) for x in mixes]), F.col("m") + 1)
     by_source = long.where("whole").select("m", "source", "rate")
     by_doc = long.where("not whole").select("m", "doc", "source", F.col("tokens").cast("long").alias("tokens"), "rate")
-    # Rates by source: one row per mix and source, at most MAX_SOURCES times the mixes.
-    each = sized.where("source is not null and tokens > 0").join(F.broadcast(by_source), "source").select("m", "doc", "source", "tokens", "rate")
-    each = each.unionByName(by_doc)
+    # Rates by source: one row per mix and source of the targets.
+    each = sized.where("source is not null and tokens > 0").join(small_side(by_source), "source").select("m", "doc", "source", "tokens", "rate")
+    each = each.unionByName(by_doc.where(F.col("source") != OTHER))
     used = _rounded(each).withColumn("mix_name", mix_name)
     documents = used.where("repeats > 0").select("mix_name", F.col("doc").alias(doc_col), "source", "tokens", "repeats")
     actual = documents.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("actual_tokens"))
     available = each.groupBy("source").agg((F.sum("tokens") / max(1, len(mixes))).cast("long").alias("available_tokens"))
     rows = [
-        (mixes[i], s, float(target[i, j]), float(target[i, j] / max(target[i].sum(), 1e-9)), None if np.isinf(limits[i, j]) else int(limits[i, j]))
-        for i in range(len(mixes)) for j, s in enumerate(sources)
+        (mixes[i], s, float(target[i, j]), float(target[i, j] / max(target[i].sum(), 1e-9)), float(expected[i, j]), None if np.isinf(limits[i, j]) else int(limits[i, j]))
+        for i in range(len(mixes)) for j, s in enumerate(sources) if s != OTHER
     ]
-    plan = docs.sparkSession.createDataFrame(rows, "mix_name string, source string, target_tokens double, target_share double, max_repeats int")
+    plan = docs.sparkSession.createDataFrame(rows, "mix_name string, source string, target_tokens double, target_share double, expected_tokens double, max_repeats int")
     shares = (
         plan.join(actual, ["mix_name", "source"], "left").join(available, "source", "left").na.fill(0, ["actual_tokens", "available_tokens"])
         .withColumn("actual_share", F.col("actual_tokens") / F.greatest(F.lit(1), F.sum("actual_tokens").over(W.partitionBy("mix_name"))))
-        .select("mix_name", "source", "target_tokens", "target_share", "actual_tokens", "actual_share", "available_tokens", "max_repeats")
+        .select("mix_name", "source", "target_tokens", "target_share", "actual_tokens", "actual_share", "expected_tokens", "available_tokens", "max_repeats")
     )
     return documents, shares
 
@@ -237,7 +241,7 @@ def _rounded(each: DataFrame) -> DataFrame:
     fit = counts.withColumn("spent", spent).withColumn("all", F.sum("need").over(w)).where(F.col("spent") - F.col("size") / 2 <= F.col("all"))
     last = cut(fit.groupBy("m", "source").agg(F.max("bucket").alias("last")))
     return (
-        rows.join(F.broadcast(last), ["m", "source"], "left")  # a row per mix and source
+        rows.join(small_side(last), ["m", "source"], "left")  # a row per mix and source
         .withColumn("repeats", (F.floor(F.col("rate") + 1e-9) + F.coalesce((F.col("bucket") <= F.col("last")) & (F.col("rest") < 1), F.lit(False)).cast("long")).cast("long"))
         .select("m", "doc", "source", "tokens", "repeats")
     )

@@ -120,7 +120,7 @@ def test_short_answers_are_no_empty_ones():
     brief = [(f"How many {rng.choice(NOUNS)}s did run {i} keep?", rng.choice((str(rng.randint(0, 500)), "None of them.", "Yes", "No", "Tarvo", "A"))) for i in range(150)]
     fitted = P.fit(corpus(1500) + brief)
     assert judge(fitted, (q, "62"), (q, "Yes"), (q, "Mirquinkas"), (q, "B")) == [None] * 4
-    assert judge(fitted, (q, "[none]"), (q, "<p>No answer</p>"), (q, "NULL."), (q, "TBD")) == ["empty"] * 4
+    assert judge(fitted, (q, "[none]"), (q, "<p>No answer</p>"), (q, "null"), (q, "TBD")) == ["empty"] * 4
 
 
 def test_all_labels_are_given(spark):
