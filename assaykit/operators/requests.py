@@ -20,12 +20,12 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def _percentile(name: str, q: float) -> Column:
-    return _zero(F.percentile(name, q))
+#: Measured column -> percentiles that are given of it.
+MEASURED, QUANTILES = ("latency", "ttfb"), (0.5, 0.95, 0.99)
 
 
 def metric_columns() -> list[Column]:
-    """Aggregates of a group of requests; an empty group gives zeros."""
+    """Aggregates of a group of requests, percentiles aside; an empty group gives zeros."""
     n = F.count(F.lit(1))
     both = F.col("tokens_input") + F.col("tokens_output")
     tokens, cost = F.sum(both), F.sum("cost")
@@ -33,8 +33,7 @@ def metric_columns() -> list[Column]:
     return [
         n.alias("requests"), ok.alias("successes"), F.count_if(~F.col("success")).alias("errors"),
         _zero(100.0 * ok / F.nullif(n, F.lit(0))).alias("success_rate"), _zero(100.0 * F.count_if(~F.col("success")) / F.nullif(n, F.lit(0))).alias("error_rate"),
-        _zero(F.avg("latency")).alias("latency_avg"), _percentile("latency", 0.5).alias("latency_p50"), _percentile("latency", 0.95).alias("latency_p95"), _percentile("latency", 0.99).alias("latency_p99"),
-        _zero(F.avg("ttfb")).alias("ttfb_avg"), _percentile("ttfb", 0.5).alias("ttfb_p50"), _percentile("ttfb", 0.95).alias("ttfb_p95"), _percentile("ttfb", 0.99).alias("ttfb_p99"),
+        _zero(F.avg("latency")).alias("latency_avg"), _zero(F.avg("ttfb")).alias("ttfb_avg"),
         _zero(tokens).cast("double").alias("tokens_total"), _zero(_zero(tokens) / F.nullif(n, F.lit(0))).alias("tokens_per_request"),
         _zero(F.avg("tokens_input")).alias("tokens_input_avg"), _zero(F.avg("tokens_output")).alias("tokens_output_avg"),
         _zero(cost).alias("cost_total"), _zero(F.avg("cost")).alias("cost_avg"), F.when(tokens > 0, _zero(cost) / tokens * 1000).otherwise(0.0).alias("cost_per_1k"),
@@ -49,21 +48,38 @@ def only(requests: DataFrame, provider: str | None = None, model: str | None = N
     return requests
 
 
+def _with_percentiles(metrics: DataFrame, requests: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """metrics (level, key, ...) with {column}_p{percent} of every MEASURED column; keys: level -> key column, null where a row is in no group.
+
+    Every row counts once per level and column, in two passes of counts: no group's values are gathered.
+    """
+    groups = [F.struct(F.concat_ws("\0", F.lit(level), key.cast("string"), F.lit(c)).alias("k"), F.when(key.isNotNull(), F.col(c).cast("double")).alias("v")) for level, key in keys.items() for c in MEASURED]
+    found = exact_percentiles(requests.select(F.inline(F.array(*groups))), "k", "v", QUANTILES)
+    parts = F.split("k", "\0")
+    name = F.concat(F.element_at(parts, -1), F.lit("_p"), F.round(F.col("q") * 100).cast("int").cast("string"))
+    names = [f"{c}_p{round(q * 100)}" for c in MEASURED for q in QUANTILES]
+    wide = found.groupBy(F.get(parts, 0).alias("_level"), F.get(parts, 1).alias("_key")).agg(*[F.max(F.when(name == n, F.col("value"))).alias(n) for n in names])
+    joined = metrics.join(wide, (F.col("level") == F.col("_level")) & (F.col("key").cast("string") == F.col("_key")), "left")
+    return joined.select(*metrics.columns, *[_zero(F.col(n)).alias(n) for n in names])
+
+
 def request_metrics(requests: DataFrame, by: str | None = None) -> DataFrame:
     """Metrics of all requests (one row, zeros if there are none) or by a column, without null and empty keys."""
     if by is None:
-        return requests.agg(*metric_columns())
-    return requests.where(F.col(by) != "").groupBy(by).agg(*metric_columns())
+        one = requests.agg(*metric_columns()).withColumn("level", F.lit("overall")).withColumn("key", F.lit("all"))
+        return _with_percentiles(one, requests, {"overall": F.lit("all")}).drop("level", "key")
+    grouped = requests.where(F.col(by) != "").groupBy(F.col(by).alias("key")).agg(*metric_columns()).withColumn("level", F.lit("key"))
+    return _with_percentiles(grouped, requests, {"key": F.nullif(F.col(by), F.lit(""))}).withColumnRenamed("key", by).drop("level")
 
 
 def metric_levels(requests: DataFrame) -> DataFrame:
-    """(level, key, metrics): overall, by provider and by model in one pass."""
-    # Latencies differ from request to request, so exact percentiles keep a map of counts per group.
-    grouped = requests.select("*", F.nullif("provider", F.lit("")).alias("_p"), F.nullif("model", F.lit("")).alias("_m")).groupingSets([[], ["_p"], ["_m"]], "_p", "_m")
+    """(level, key, metrics): overall, by provider and by model in one pass, and two more for the percentiles."""
+    provider, model = (F.nullif(c, F.lit("")) for c in ("provider", "model"))
+    grouped = requests.select("*", provider.alias("_p"), model.alias("_m")).groupingSets([[], ["_p"], ["_m"]], "_p", "_m")
     out = grouped.agg(F.grouping("_p").alias("gp"), F.grouping("_m").alias("gm"), *metric_columns())
     level = F.when(F.col("gp") == 0, "provider").when(F.col("gm") == 0, "model").otherwise("overall")
     named = out.withColumn("level", level).withColumn("key", F.when(F.col("level") == "provider", F.col("_p")).when(F.col("level") == "model", F.col("_m")).otherwise("all"))
-    return named.where("key is not null").drop("gp", "gm", "_p", "_m")
+    return _with_percentiles(named.where("key is not null").drop("gp", "gm", "_p", "_m"), requests, {"overall": F.lit("all"), "provider": provider, "model": model})
 
 
 def latency_histogram(requests: DataFrame, col: str = "latency") -> DataFrame:
