@@ -75,6 +75,20 @@ def agent_score(response: Column) -> Column:
     return F.struct(score.alias("score"), F.coalesce(reason, F.lit("")).alias("reasoning"))
 
 
+def result_score(result: Column) -> Column:
+    """STRUCT<score, reasoning> of a scorer's result as JSON text, whatever its form: an object's score, the first
+    object of a list, a number (or text or truth value that is one), 0 for an object with an error or without score,
+    an empty list, and anything else. The reasoning of an error is its text."""
+    v = parsed(strip(result))
+    first = F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
+    listed = F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    error = F.when(~listed, F.try_variant_get(v, "$.error", "string"))
+    alone = F.when(~listed, F.coalesce(F.try_variant_get(v, "$", "double"), _double(result)))
+    score = F.when(error.isNotNull(), 0.0).otherwise(F.coalesce(F.try_variant_get(first, "$.score", "double"), alone, F.lit(0.0)))
+    reason = F.when(error.isNotNull(), F.concat(F.lit("Error: "), error)).otherwise(F.try_variant_get(first, "$.reasoning", "string"))
+    return F.struct(score.alias("score"), F.coalesce(reason, F.lit("")).alias("reasoning"))
+
+
 def panel_score(response: Column) -> Column:
     """Score of a panel judge from 0 to 1: JSON (whole, fenced, or the first object) with score from 1 to 5 and reasoning, else 0."""
     s = strip(response)

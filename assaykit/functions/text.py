@@ -247,6 +247,15 @@ def choice_index(expected: Column, choices: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(norm, want), F.lit(0)), F.nullif(F.array_position(near, F.lit(True)), F.lit(0))).cast("int") - 1
 
 
+# Generation settings for multiple-choice prompts.
+CHOICE_SETTINGS = {"max_tokens": 10, "temperature": 0.0, "stop": ["\n", "Question:"]}
+
+
+def few_shot_header(subject: Column) -> Column:
+    """The line that stands before the examples of a subject."""
+    return F.concat(F.lit("Here are some example questions from "), F.initcap(F.replace(subject, F.lit("_"), F.lit(" "))), F.lit(":"))
+
+
 def multiple_choice_prompt(question: Column, choices: Column) -> Column:
     listed = F.array_join(F.transform(choices, lambda c, i: F.concat(F.char(i + 65), F.lit(". "), c, F.lit("\n"))), "")
     return F.concat(F.lit("Question: "), question, F.lit("\n"), listed, F.lit("Answer:"))
@@ -315,6 +324,16 @@ def completeness_heuristic(pred: Column) -> Column:
     return F.when(F.length(strip(pred)) < 10, 0.2).when(F.lower(pred).rlike("sorry|can't"), 0.4).otherwise(0.7)
 
 
+def banded_reasoning(name: str, score: Column, labels: Sequence[str] = ("excellent", "good", "fair", "poor", "very poor")) -> Column:
+    """One line on a score: its name, its value with three decimals, and the label of its band."""
+    return F.concat(F.lit(f"{name}: "), F.format_number(F.coalesce(score, F.lit(0.0)), 3), F.lit(" ("), band(F.coalesce(score, F.lit(0.0)), labels), F.lit(")"))
+
+
+def combined_reasoning(parts: dict[str, Column]) -> Column:
+    """The reasonings of several scores, a line each, in order."""
+    return F.concat_ws("\n", *[banded_reasoning(n, c) for n, c in parts.items()])
+
+
 def band(score: Column, labels: Sequence[str], edges: Sequence[float] = (0.9, 0.7, 0.5, 0.3)) -> Column:
     """The label of the first edge that a score reaches, else the last label."""
     out = F.when(score >= edges[0], labels[0])

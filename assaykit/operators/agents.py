@@ -80,7 +80,7 @@ SCORERS = {
 def agent_score(name: str, response: Column, present: dict[str, Column], exited: Column | None = None) -> Column:
     """STRUCT<score, valid, missing>. Missing fields give 0 and their names; an agent that has not exited gives -1.
 
-    response: the judge's text; an array of them for scorers per call, of which the first counts. Scores keep their scale.
+    response: the judge's text; an array of them for scorers per call, of which the first counts. No response gives 0. Scores keep their scale.
     """
     _, needs, gated, per_call = SCORERS[name]
     missing = missing_fields(**{f: present[f] for f in needs})
@@ -88,7 +88,7 @@ def agent_score(name: str, response: Column, present: dict[str, Column], exited:
     score = F.when(F.size(missing) > 0, 0.0)
     if gated and exited is not None:
         score = score.when(~F.coalesce(exited, F.lit(False)), -1.0)
-    score = score.otherwise(F.coalesce(responses.agent_score(text)["score"], F.lit(0.0)))
+    score = score.otherwise(F.coalesce(F.when(text.isNotNull(), responses.agent_score(text)["score"]), F.lit(0.0)))
     return F.struct(score.alias("score"), ((F.size(missing) == 0) & (score >= 0)).alias("valid"), missing.alias("missing"))
 
 

@@ -86,6 +86,12 @@ def model_summary(long: DataFrame) -> DataFrame:
     )
 
 
+def run_totals(long: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row over long (model, sample_id, scorer, score) and errors (model, ...): models, distinct samples, scorers and errors."""
+    counts = long.agg(F.count_distinct("model").alias("total_models"), F.count_distinct("sample_id").alias("total_samples"), F.count_distinct("scorer").alias("total_scorers"))
+    return counts.join(F.broadcast(errors.agg(F.count(F.lit(1)).alias("total_errors"))))  # a single row each
+
+
 def best_models(long: DataFrame) -> DataFrame:
     """(scorer, model, mean): the model of the greatest mean; of equal ones the first by name."""
     means = long.groupBy("scorer", "model").agg(F.avg(known(F.col("score"))).alias("mean"))

@@ -28,6 +28,7 @@ class Rating:
 
 
 _BOTH = ("output", "context")
+# Thresholds, fields and defaults of the scorers.
 SCORERS: dict[str, Rating] = {
     "bias_detection": Rating(0.8, "json:bias_score", 1.0, inverted=True),
     "factual_accuracy": Rating(0.8, "json:accuracy_score", needs=_BOTH),

@@ -39,9 +39,12 @@ def replay(df: DataFrame, recorded: DataFrame, prompt: str = "prompt", out: str
     return df.join(known, F.col(prompt) == F.col("_p"), "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_p")
 
 
-def generate(df: DataFrame, call: Callable[[str], str], prompt: str = "prompt", out: str = "response", retries: int = 5, wait: float = 1.0) -> DataFrame:
+def generate(df: DataFrame, call: Callable[[str], str], prompt: str = "prompt", out: str = "response", retries: int = 5, wait: float = 1.0, errors: str = "raise") -> DataFrame:
     """df with `call(prompt)`; each distinct prompt is sent once. A call that raises TimeoutError or ConnectionError is
-    repeated with waits that grow by a quarter, then gives ''; other errors give '' at once. Null prompts give ''."""
+    repeated with waits that grow by a quarter, then gives ''; other errors are raised, or give '' with errors="empty".
+    Null prompts give ''."""
+    if errors not in ("raise", "empty"):
+        raise ValueError(errors)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,6 +59,8 @@ def generate(df: DataFrame, call: Callable[[str], str], prompt: str = "prompt",
                         time.sleep(pause)
                         pause *= 1.25
                     except Exception:
+                        if errors == "raise":
+                            raise
                         break
                 answers.append(answer)
             yield pd.DataFrame({"prompt": batch["p"], "response": answers})

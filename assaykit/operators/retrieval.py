@@ -134,7 +134,7 @@ def group_diversity(df: DataFrame, by: str, vector: str) -> DataFrame:
     return out.select(by, "n", F.when(F.col("n") > 1, 1 - (cosine + 1) / 2).otherwise(0.0).alias("diversity"))
 
 
-#: The order in which a scorer's result is searched for the number that stands for it.
+# Fixed value: the order in which a scorer's result is searched for the number that stands for it.
 PRIORITY = ("score", "aggregate", "average", "similarity", "f1", "combined", "diversity", "precision", "recall", "accuracy")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.text import multiple_choice_prompt
+from assaykit.functions.text import few_shot_header, multiple_choice_prompt
 
 
 def canonical(df: DataFrame, input_col: str = "input", expected_col: str = "expected", id_col: str | None = None, index_col: str | None = None, prefix: str = "custom") -> DataFrame:
@@ -26,10 +26,14 @@ def canonical(df: DataFrame, input_col: str = "input", expected_col: str = "expe
     return out.select(ids.alias("id"), F.col(f"`{input_col}`").cast("string").alias("input"), F.col(f"`{expected_col}`").cast("string").alias("expected"), *rest)
 
 
-def choice_samples(items: DataFrame, id_col: str = "item_id", subject: str = "subset") -> DataFrame:
-    """(id, input, expected, question, choices, answer_index, subject) of multiple-choice items; answers out of range give a null expected."""
+def choice_samples(items: DataFrame, id_col: str = "item_id", subject: str = "subset", few_shot: int = 0) -> DataFrame:
+    """(id, input, expected, question, choices, answer_index, subject) of multiple-choice items; answers out of range give a
+    null expected. With few_shot the header of the subject's examples stands before the question."""
+    prompt = multiple_choice_prompt(F.col("question"), F.col("choices"))
+    if few_shot > 0:
+        prompt = F.concat(few_shot_header(F.col(subject)), F.lit("\n\n"), prompt)
     return items.where("question is not null and choices is not null").select(
-        F.col(id_col).cast("string").alias("id"), multiple_choice_prompt(F.col("question"), F.col("choices")).alias("input"), F.get("choices", "answer").alias("expected"),
+        F.col(id_col).cast("string").alias("id"), prompt.alias("input"), F.get("choices", "answer").alias("expected"),
         "question", "choices", F.col("answer").alias("answer_index"), F.col(subject).alias("subject"),
     )
 
@@ -87,8 +91,11 @@ def for_models(samples: DataFrame, models: Sequence[str]) -> DataFrame:
     return samples.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    """Frames one below the other by column name; a column that a frame lacks is null."""
+def union_all(frames: Sequence[DataFrame], fill: str | None = None) -> DataFrame:
+    """Frames one below the other by column name; a column that a frame lacks is null, or `fill` in all columns as text."""
+    if fill is not None:
+        names = list(dict.fromkeys(c for f in frames for c in f.columns))
+        frames = [f.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in f.columns else F.lit(fill).alias(c) for c in names]) for f in frames]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Critical stages and weights.
 CRITICAL = ("query_processing", "retrieval", "generation")
 RETRIEVAL_WEIGHTS = {"precision": 0.25, "recall": 0.25, "f1": 0.2, "ranking": 0.15, "similarity": 0.1, "diversity": 0.05}
-GENERATION_WEIGHTS = (0.15, 0.12, 0.12, 0.10, 0.10, 0.08, 0.08, 0.06, 0.06, 0.05, 0.04, 0.04)
+GENERATION_WEIGHTS = {
+    "factual_accuracy": 0.15, "claim_verification": 0.12, "hallucination_detection": 0.12, "answer_completeness": 0.10, "question_answer_alignment": 0.10, "information_density": 0.08,
+    "clarity_and_coherence": 0.08, "citation_quality": 0.06, "source_attribution": 0.06, "bias_detection": 0.05, "tone_consistency": 0.04, "terminology_consistency": 0.04,
+}
+#: A stage succeeded from this score on.
+STAGE_PASSES = 0.6
 OVERALL_WEIGHTS = {"retrieval": 0.3, "generation": 0.4, "coordination": 0.2, "error_handling": 0.1}
 
 
@@ -50,6 +56,20 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return total
 
 
+def retrieval_stage(parts: dict[str, Column]) -> Column:
+    """Score of a retrieval stage of the parts named in RETRIEVAL_WEIGHTS."""
+    return weighted(parts, RETRIEVAL_WEIGHTS)
+
+
+def generation_stage(parts: dict[str, Column]) -> Column:
+    """Score of a generation stage of the scorers named in GENERATION_WEIGHTS."""
+    return weighted(parts, GENERATION_WEIGHTS)
+
+
+def succeeded(score: Column) -> Column:
+    return F.coalesce(score, F.lit(0.0)) >= STAGE_PASSES
+
+
 def overall(retrieval: Column, generation: Column, coordination: Column, error_handling: Column) -> Column:
     return weighted({"retrieval": retrieval, "generation": generation, "coordination": coordination, "error_handling": error_handling}, OVERALL_WEIGHTS)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assaykit.plans import metrics, preparation, texts, turns
+from assaykit.plans import judged, metrics, preparation, texts, turns
 
-_PARTS = (texts.REGISTRY, metrics.REGISTRY, turns.REGISTRY)
+_PARTS = (texts.REGISTRY, metrics.REGISTRY, turns.REGISTRY, judged.REGISTRY)
 QUERIES = dict(preparation.QUERIES)
 SQL = dict(preparation.SQL)
 for _part in _PARTS:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from assaykit import schemas
 from assaykit.operators.agents import typed_turns
 
-#: Keys under which a JSON object may hold its list of samples.
+# Keys under which a JSON object may hold its list of samples.
 LIST_KEYS = ("data", "samples", "examples", "items")
 
 

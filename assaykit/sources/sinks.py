@@ -6,7 +6,7 @@ import html
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,33 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> int:
+    """One local file with a JSON array of the rows; returns how many. A partition at a time passes through the driver."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for row in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+            f.write((",\n" if n else "\n") + row["j"])
+            n += 1
+        f.write("\n]\n" if n else "]\n")
+    return n
+
+
+def jsonl_to_array(spark: SparkSession, source: str, path: str) -> int:
+    """A file of JSON lines as one JSON array, each object as it was written; blank lines are skipped, other text is an error."""
+    lines = spark.read.text(source).where("trim(value) <> ''")
+    if lines.where(F.try_parse_json("value").isNull()).limit(1).count():
+        raise ValueError(f"{source} holds lines that are not JSON")
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for row in lines.toLocalIterator():
+            f.write((",\n" if n else "\n") + row["value"].strip())
+            n += 1
+        f.write("\n]\n" if n else "]\n")
+    return n
+
+
 def append_checked(df: DataFrame, path: str) -> None:
     """Append to a Parquet table of the same columns; others are an error."""
     spark = df.sparkSession
@@ -37,9 +64,12 @@ def append_checked(df: DataFrame, path: str) -> None:
 
 
 def merge_results(samples: DataFrame, summary: DataFrame, path: str) -> None:
-    """Results of a run beside those of earlier ones: samples are appended, the summary replaced."""
-    samples.write.mode("append").parquet(f"{path}/samples")
-    summary.write.mode("overwrite").parquet(f"{path}/summary")
+    """Results of a run beside those of earlier ones, by model: a model of this run replaces its earlier results, others stay.
+
+    Both tables lie in a folder per model, and only those of this run's models are written.
+    """
+    for df, name in ((samples, "samples"), (summary, "summary")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/{name}")
 
 
 def _first(rows: DataFrame, limit: int, failing: Column | None) -> tuple[list, int, int]:

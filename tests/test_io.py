@@ -138,3 +138,37 @@ def test_presets(spark):
     with pytest.raises(ValueError):
         presets.language_understanding(swag, "none")
     assert len(presets.SUBJECTS) == 57 and len(presets.GLUE_INPUT) == 9
+
+
+def test_json_arrays(spark, tmp_path):
+    import json
+
+    from assaykit.sources import sinks
+
+    df = spark.createDataFrame([(1, "x, \"y\""), (2, None)], "id int, name string")
+    assert sinks.write_json_array(df, str(tmp_path / "a.json")) == 2
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"id": 1, "name": "x, \"y\""}, {"id": 2}]
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\n\n{"id": 2, "x": [1]}\n')
+    assert sinks.jsonl_to_array(spark, str(tmp_path / "b.jsonl"), str(tmp_path / "b.json")) == 2
+    assert json.loads((tmp_path / "b.json").read_text()) == [{"id": 1}, {"id": 2, "x": [1]}]
+    (tmp_path / "c.jsonl").write_text('{"id": 1}\nnot json\n')
+    with pytest.raises(ValueError):
+        sinks.jsonl_to_array(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "c.json"))
+    assert sinks.write_json_array(df.limit(0), str(tmp_path / "d.json")) == 0 and json.loads((tmp_path / "d.json").read_text()) == []
+
+
+def test_merging_replaces_a_model(spark, tmp_path):
+    from assaykit.sources import sinks
+
+    rows = lambda *r: spark.createDataFrame(list(r), "model string, score double")
+    sinks.merge_results(rows(("a", 1.0), ("b", 2.0)), rows(("a", 1.0), ("b", 2.0)), str(tmp_path / "r"))
+    sinks.merge_results(rows(("a", 5.0), ("c", 3.0)), rows(("a", 5.0), ("c", 3.0)), str(tmp_path / "r"))
+    for name in ("samples", "summary"):
+        assert sorted((r["model"], r["score"]) for r in spark.read.parquet(str(tmp_path / "r" / name)).collect()) == [("a", 5.0), ("b", 2.0), ("c", 3.0)]
+
+
+def test_no_running_median(spark):
+    from assaykit import streaming
+
+    with pytest.raises(ValueError):
+        streaming.stream_aggregate(spark.createDataFrame([("a", 1.0)], "k string, s double"), "k", ["s"], ("mean", "median"))

@@ -133,9 +133,11 @@ def test_generate_sends_each_prompt_once(spark, tmp_path):
         return prompt.upper()
 
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bad"), (4, None)], "id int, prompt string")
-    out = judging.generate(df, call)
+    out = judging.generate(df, call, errors="empty")
     assert {r["id"]: r["response"] for r in out.collect()} == {1: "A", 2: "A", 3: "", 4: ""}
     assert sorted(log.read_text().split()) == ["a", "bad"]
+    with pytest.raises(Exception, match="KeyError"):
+        judging.generate(df, call).collect()
 
 
 def test_panel_results(spark):
@@ -232,3 +234,23 @@ def test_small_side_measures(spark):
     wide = spark.createDataFrame([("x" * 1000,)] * 50, "s string")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(small_side(wide)) and not hinted(small_side(wide, size=10_000)) and not hinted(small_side(wide, rows=10))
+
+
+def test_judging_from_prompts_to_scores(spark):
+    from assaykit.operators import prompts
+
+    assert set(prompts.PROMPTS) == set(generation.SCORERS) and set(prompts.AGENT_PROMPTS) == set(agents.SCORERS)
+    assert set(prompts.ITEMS) == {n for n, s in generation.SCORERS.items() if s.per_item}
+
+    def call(prompt):
+        if "the claim" in prompt:
+            return "Rating: 5" if "first claim" in prompt else "Rating: 1"
+        return '{"bias_score": 2}' if "biased" in prompt else "Rating: 4"
+
+    df = spark.createDataFrame([("a", "q", "The first claim here. The second claim here.", "one\n\ntwo"), ("b", "q", "", "one"), ("c", "q", "The first claim here.", None)], "sample_id string, question string, output string, context string")
+    names = ["bias_detection", "clarity_and_coherence", "context_faithfulness", "conflict_resolution"]
+    got = {r["sample_id"]: tuple(round(r[n], 6) for n in names) for r in prompts.judge_answers(df, names, call).collect()}
+    assert got == {"a": (0.8, 0.8, 0.6, 0.8), "b": (0.0, 0.0, 0.0, 0.0), "c": (0.8, 0.8, 0.0, 0.0)}
+    recorded = prompts.answer_prompts(df, names, "sample_id", "question", "output", "context").select("prompt", F.lit("Rating: 3").alias("response"))
+    assert prompts.judge_answers(df, names, recorded=recorded).where("sample_id = 'a'").first()["clarity_and_coherence"] == 0.6
+    assert df.select(prompts.escaped(F.lit("a {b}"))).first()[0] == "a {{b}}"
