@@ -82,10 +82,9 @@ def _errors(base: DataFrame, columns: Sequence[str], rules: dict[str, str]) -> D
     verdict = F.when(F.col("cells").isNull(), "quoting").when((F.size("cells") != len(columns)) | F.col("raw").isNull(), "column_count").otherwise("")
     cell_rules = [(0, "", "record")] + [(1 + list(columns).index(c), c, r) for c, r in rules.items()]
     rule_table = base.sparkSession.createDataFrame(cell_rules, "pos int, column string, rule string")
-    cells = base.select(
-        "id", "key",
-        F.posexplode(F.concat(F.array(verdict), F.when(verdict == "", F.col("cells")).otherwise(F.array().cast("array<string>")))).alias("pos", "value"),
-    ).join(F.broadcast(rule_table), "pos")  # as many rows as there are rules
+    # Only the cells that a rule speaks about are exploded.
+    ruled = [F.struct(F.lit(pos).alias("pos"), F.when(verdict == "", F.get("cells", pos - 1)).alias("value")) for pos, _, _ in cell_rules[1:]]
+    cells = base.select("id", "key", F.inline(F.array(F.struct(F.lit(0).alias("pos"), verdict.alias("value")), *ruled))).join(F.broadcast(rule_table), "pos")  # as many rows as there are rules
     text = F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     is_json = (F.col("rule") != "record") & text.rlike(r"\A[\[{]")
     checked = cells.withColumn("valid", _valid_json("rule", F.when(is_json, text)))
