@@ -7,7 +7,7 @@ import xxhash
 
 BITS = 18
 #: Rows of a mini-batch.
-BATCH = 256
+BATCH = 64
 
 
 #: Names that begin so have places of their own, from 1 << BITS on.

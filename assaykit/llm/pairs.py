@@ -38,6 +38,8 @@ BAG_SHARE = 0.7
 TASKS = 12
 #: Smaller samples are gone through several times, so that of at least so many pairs others are made.
 MADE_OF = 800
+#: So many empty responses are made of each stand-in at least.
+STAND_IN_TIMES = 8
 #: Score from which a pair of the sample is left out of the fit, by defect.
 SUSPECT = {"empty": 0.3, "truncated": 0.7, "refusal": 0.1, "copy": 0.3, "language": 0.3}
 SEED = 7
@@ -337,11 +339,11 @@ def _brief(rng: random.Random) -> str:
     return text + rng.choice(("", "", "", "."))
 
 
-def _emptied(rng: random.Random) -> str:
-    """Nothing, marks only, or a stand-in in some writing."""
-    if rng.random() < 0.3:
+def _emptied(rng: random.Random, text: str | None = None) -> str:
+    """Nothing, marks only, or a stand-in (that given, else any) in some writing."""
+    if text is None and rng.random() < 0.3:
         return rng.choice(_EMPTIES)
-    text = rng.choice(_STAND_INS)
+    text = text or rng.choice(_STAND_INS)
     text = rng.choice((text, text, text.upper(), text.capitalize(), text.title()))
     return rng.choice(("{}", "{}", "{}", "{}.", "[{}]", "({})", "<{}>", '"{}"', "<p>{}</p>", "**{}**", " {} ", "- {}")).replace("{}", text)
 
@@ -438,7 +440,9 @@ def synthesize(pairs: list[tuple[str | None, str]], seed: int, context: tuple |
             out.append((q, rng.choice((_before(rng, *told, []) + a, f"{sorry} {a}", f"{_before(rng, *told, [])}{sorry} {a}", f"{a.rstrip()} {sorry}")), None))
         if rng.random() < 0.12:
             out.append((q, _emptied(rng), DEFECTS.index("empty")))
-        if rng.random() < 0.12:
+        if place < STAND_IN_TIMES * len(_STAND_INS):  # whatever the sample, every stand-in is among the made ones
+            out.append((q, _emptied(random.Random(place), _STAND_INS[place % len(_STAND_INS)]), DEFECTS.index("empty")))
+        if rng.random() < 0.4:
             out.append((q, _brief(rng), None))
         if q and content(q) and len(q.split()) > 1 and not _REPEAT.search(q) and rng.random() < 0.35:
             out.append((q, _copied(rng, q), DEFECTS.index("copy")))
